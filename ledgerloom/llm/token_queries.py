@@ -1,10 +1,12 @@
-"""Queries of problem 6: token ids of every document."""
+"""Queries of problems 6 to 8: token ids, mixing of sources, splitting of long texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.splitting import pieces
 from ledgerloom.llm.tokens import Encoder, encode
 from ledgerloom.runtime import table
 
@@ -19,5 +21,23 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").alias("n_tokens"), (Encoder().decode(F.col("ids")) == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("same"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that were cut."""
+    return pieces(table(spark, sf_dir, "documents"), with_text=False).filter("piece_no = 1").select("doc_id")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
