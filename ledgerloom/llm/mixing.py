@@ -42,7 +42,7 @@ def texts_by_source(documents: DataFrame, weights: DataFrame, path: str = VOCABU
 
 
 def thresholds(texts: DataFrame, budgets: dict[str, float]) -> dict[str, int]:
-    """Per source the hash below which its texts hold as many tokens as possible without exceeding its budget."""
+    """Per source the hash below which its texts, taken by rising hash, come nearest to its budget in tokens."""
     spark = texts.sparkSession
     found: dict[str, int] = {s: 0 for s in budgets}  # lower end of the boundary bucket
     left = dict(budgets)
@@ -64,6 +64,8 @@ def thresholds(texts: DataFrame, budgets: dict[str, float]) -> dict[str, int]:
                     found[s] = b << shift
                     if n == 1 or shift == 0:
                         open_.discard(s)
+                        if tokens - left[s] < left[s]:  # the draw comes nearer to its budget with the last text than without
+                            found[s] = (b + 1) << shift
                     break
                 left[s] -= tokens
             else:

@@ -3,8 +3,8 @@
 A text over the limit gets the least number of pieces that can hold it, and its cuts are aimed at equal lengths. Each
 cut then snaps to the strongest boundary within a reach of its aim (paragraph, line, sentence, word, character; the
 nearest of equals). Where a piece then exceeds the limit, one piece is added and all cuts are aimed anew. A cut never
-divides a character, and the next piece begins the overlap before the cut: that many tokens, or up to three more where
-that place divides a character.
+divides a character, and the next piece begins the overlap before the cut. Cuts where that place divides no character
+either are preferred; where there is none within reach, up to three tokens more are shared.
 
 A text whose UTF-8 bytes are no more than the limit has no more tokens than that, so only longer ones leave the JVM.
 
@@ -64,6 +64,8 @@ def cuts(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, reach
             near = whole[np.searchsorted(whole, low) : np.searchsorted(whole, high, "right")]
             if not len(near):
                 break
+            exact = near[(near <= overlap) | (strength[np.maximum(near - overlap - 1, 0)] >= 0)]
+            near = exact if len(exact) else near  # where the overlap can begin between characters too
             force = strength[near - 1]
             near = near[force == force.max()]
             end = int(near[np.argmin(np.abs(near - aim))])
