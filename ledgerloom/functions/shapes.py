@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values: how dimensions are written ----------------------------------------------------------------------
 PAIR = r"(?i)(?<![\d.,])(\d+(?:[.,]\d+)?)\s*(?:mm|cm|m)?\s*[x×*]\s*(\d+(?:[.,]\d+)?)\s*(?:mm|cm|m)?(?:\s*[x×*]\s*(\d+(?:[.,]\d+)?))?\s*(?:mm|cm|m)?\b"
 SINGLE = r"(?i)(?<![\d.,])(\d+(?:[.,]\d+)?)\s*(mm|cm|m)\b"
-BARE = r"(?<![\d.,])(\d{3,5})(?![\d.,])"
+BARE = r"(?<![\w.,])(\d{3,5})(?![\w.,])"
 # --------------------------------------------------------------------------------------------------------------------
 
 

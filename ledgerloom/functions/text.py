@@ -39,11 +39,9 @@ def clean_rate(text: Column) -> Column:
     A lone comma group of three digits marks thousands, any other a decimal comma."""
     bare = F.regexp_replace(F.lower(strip(text)), f"({CURRENCIES})", "")
     digits = F.regexp_replace(bare, r"[^0-9.,]", "")
-    groups = F.split(digits, ",")
-    thousands = F.length(F.element_at(groups, -1)) == 3
-    plain = F.when(digits.contains(",") & (digits.contains(".") | thousands), F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
-    number = F.when(F.regexp_count(plain, F.lit(r"\.")) < 2, plain.try_cast("double"))
-    return F.when(bare.rlike("[a-z]"), 0.0).otherwise(F.coalesce(number, F.lit(0.0)))
+    # commas beside a point, or before a last group of three, mark thousands; others are decimal commas
+    plain = F.replace(F.regexp_replace(digits, r",(?=.*\.)|(?<=\.[0-9,]{0,40}),|,(?=(?:\d*,)*\d{3}$)", ""), F.lit(","), F.lit("."))
+    return F.when(bare.rlike("[a-z]"), 0.0).otherwise(F.coalesce(plain.try_cast("double"), F.lit(0.0)))
 
 
 def first_number(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.runtime import materialize, release
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by a total order; combines before the shuffle, so a hot key is no hot task."""
@@ -89,25 +91,27 @@ def guarded_insert(existing: DataFrame, new: DataFrame, unique: list[str], paren
     return out.join(parent.select(F.col(parent_key).alias(foreign)).distinct(), foreign, "left_semi").select(new.columns) if parent is not None else out
 
 
-def resolve_chain(df: DataFrame, key: str = "id", to: str = "merged_into", rounds: int = 40) -> DataFrame:
+def resolve_chain(df: DataFrame, key: str = "id", to: str = "merged_into", rounds: int = 20) -> DataFrame:
     """key, root: the end of each row's chain of references, by pointer doubling.
 
-    A cycle has no end; its rows resolve to its least key. Every round doubles the length followed, so 40 are plenty."""
-    from ledgerloom.runtime import materialize, release
-
-    links = materialize(df.select(F.col(key).alias("node"), F.coalesce(F.col(to), F.col(key)).alias("next"), F.col(key).alias("low")), "chain")
+    A reference to an unknown row ends the chain. A cycle has no end: it, and what leads into it, resolves to its least
+    key. Every round doubles the length followed, so chains of up to 2**rounds are followed."""
     ids = df.select(F.col(key).alias("known"))
-    links = materialize(links.join(ids, links["next"] == ids["known"], "left").select("node", F.coalesce("known", "node").alias("next"), F.least("low", F.coalesce("known", "node")).alias("low")), "chain")
+    links = df.select(F.col(key).alias("node"), F.col(to).alias("next"))
+    links = links.join(ids, links["next"] == ids["known"], "left").select("node", F.coalesce("known", "node").alias("next"))
+    links = materialize(links.withColumn("low", F.least("node", "next")), "chain")
+    ends = links.filter("node = next").select(F.col("node").alias("next"), F.lit(True).alias("end"))
+    ends = materialize(ends, "chain-ends")
     for _ in range(rounds):
         step = links.select(F.col("node").alias("next"), F.col("next").alias("after"), F.col("low").alias("low2"))
         new = materialize(links.join(step, "next").select("node", "next", "after", F.least("low", "low2").alias("low")), "chain")
         moved = new.filter("after <> next").limit(1).count()
         release(links)
-        links = materialize(new.select("node", F.col("after").alias("next"), "low"), "chain")
+        links = new.select("node", F.col("after").alias("next"), "low")
         if not moved:
-            return links.select(F.col("node").alias(key), F.col("next").alias("root"))
-    ends = links.filter("node = next").select("node")
-    return links.join(ends.withColumnRenamed("node", "end"), F.col("next") == F.col("end"), "left").select(F.col("node").alias(key), F.coalesce("end", "low").alias("root"))
+            break
+    cycle = links.select(F.col("node").alias("next"), F.col("low").alias("least"))
+    return links.select("node", "next").join(ends, "next", "left").join(cycle, "next").select(F.col("node").alias(key), F.when(F.col("end"), F.col("next")).otherwise(F.col("least")).alias("root"))
 
 
 def proportional(df: DataFrame, group: list[str], share: str, total: str, order: list[Column], scale: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ def dot(a: Column, b: Column) -> Column:
 def similarity_percent(squared_distance: Column) -> Column:
     """Cosine of unit vectors, from their squared distance, as a percentage with one decimal; 0 for null."""
     cos = F.lit(1.0) - squared_distance.cast("double") / 2
-    return F.coalesce(F.round((F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)) * 100).cast("decimal(18,6)"), 1).cast("double"), F.lit(0.0))
+    return F.when(squared_distance.isNull(), 0.0).otherwise(F.round((F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)) * 100).cast("decimal(18,6)"), 1).cast("double"))
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataFrame:

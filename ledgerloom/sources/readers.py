@@ -94,7 +94,8 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
 def table_rows(cells: DataFrame) -> DataFrame:
     """Like sheet_rows, for tables of documents: merged cells repeat their text and count once, a blank rate is total / qty."""
     before = Window.partitionBy("file", "sheet", "row").orderBy("col")
-    once = cells.withColumn("_left", F.lag("value").over(before)).filter("_left is null or value is null or _left <> value").withColumn("col", F.row_number().over(before)).drop("_left")
+    repeated = (F.col("_left") == F.col("value")) & F.col("value").rlike(r"\p{L}")
+    once = cells.withColumn("_left", F.lag("value").over(before)).filter(~F.coalesce(repeated, F.lit(False))).drop("_left")
     rows = sheet_rows(once.withColumn("is_active", F.lit(True)))
     return rows.withColumn("rate", F.when((F.col("rate") <= 0) & (F.col("qty") > 0) & (F.col("total") > 0), F.col("total") / F.col("qty")).otherwise(F.col("rate")))
 

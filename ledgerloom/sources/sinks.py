@@ -27,11 +27,11 @@ def publish(df: DataFrame, root: str, expected: int | None = None) -> str:
         path, fs = _path(spark, f"{root}/{version}")
         fs.delete(path, True)
         raise ValueError(f"{n} rows were written, {expected} expected; the live version stays")
-    made, fs = _path(spark, f"{root}/_current.{version}")
+    made, fs = _path(spark, f"{root}/pointer-{version}.tmp")
     out = fs.create(made, True)
     out.write(bytearray(json.dumps({"version": version, "rows": n}).encode()))
     out.close()
-    live, _ = _path(spark, f"{root}/_current.json")
+    live, _ = _path(spark, f"{root}/current.json")
     if fs.exists(live):
         fs.delete(live, False)
     fs.rename(made, live)
@@ -39,7 +39,7 @@ def publish(df: DataFrame, root: str, expected: int | None = None) -> str:
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    pointer = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/_current.json").collect()))
+    pointer = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/current.json").collect()))
     return spark.read.parquet(f"{root}/{pointer['version']}")
 
 
