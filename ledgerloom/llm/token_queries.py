@@ -18,7 +18,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its number of tokens and whether decoding gives back its bytes."""
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return encoded.select("doc_id", F.size("ids").alias("n_tokens"), (Encoder().decode(F.col("ids")) == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("same"))
+    decoded = Encoder(spark).with_bytes(encoded, "ids", "bytes")
+    return decoded.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("bytes") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("same"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

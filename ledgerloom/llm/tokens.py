@@ -4,10 +4,11 @@ A text is cut into words by the vocabulary's pattern. The corpus' words are coun
 ``DICTIONARY`` of them) are encoded once each and become a literal table, and every other word is encoded where it
 stands. So each word is folded once or is rare, and no word, and no text, is shuffled to be looked up.
 
-The fold (``encode_word``) holds a word as a string of one character per token. Each step looks up the rank of every
-neighbouring pair in a literal table, takes the lowest, and replaces that pair wherever it stands, from the left. A pair
-that arises from a merge always ranks after it, so replacing all at once gives what one merge at a time gives, in at most
-as many steps as there are different merges: a word of one repeated character of any length takes a few steps.
+The fold takes the pair of the lowest rank, merges it, and looks up the ranks of the two new pairs beside it. A word over
+``SHORT`` bytes is first cut where no token can lie across, which leaves short pieces in nearly all cases. A piece that
+stays long is held as a string of one character per token, and each step replaces its lowest pair wherever it stands,
+from the left. A pair that arises from a merge always ranks after it, so replacing all at once gives what one merge at a
+time gives, in at most as many steps as there are different merges, whatever the length.
 
 The rank table has two slots per pair (a cuckoo table), so a lookup costs two array reads however many ranks there are.
 
@@ -18,10 +19,12 @@ occur in a Spark string; repeated texts are encoded as often as they occur; an e
 from __future__ import annotations
 
 import base64
-import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,13 @@ from ledgerloom.runtime import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bound of the table of common words that the driver gathers and every task holds.
-DICTIONARY = 65536
+DICTIONARY = 1 << 17
+PLACES = 1 << 20  # of the table of common words
+SHORT = 64  # bytes of a word that is merged pair by pair
 SLOTS = 1 << 17
 HALF = 1 << 16
 MIX, MIX2 = 1640531527, 1013904223  # a key is below 2**32, so the products fit a long
+CONSTANT = "__constant"
 OFFSET = 256  # token t is the character of code point t + OFFSET: under the surrogates for vocabularies up to 55,000
 
 # --- fixed values: the vocabulary's word pattern, its white space spelled out, alternatives that exclude each other reordered
@@ -70,9 +76,17 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return Vocabulary(tuple(p for p, _ in sorted(ranks.items(), key=lambda x: x[1])), tuple(pairs))
 
 
-def _array(values: list, kind: str) -> Column:
-    """A literal array from one JSON text, which the optimizer folds to a constant."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+def constant(spark: SparkSession, **arrays: pa.Array) -> Column:
+    """A struct of arrays as a scalar subquery: computed once, carried by the tasks as bytes, and no part of the plan's text.
+
+    Put it in a column of its own (CONSTANT) and use that once: the optimizer then inlines it where it is used."""
+    row = pa.table({k: pa.array([v.to_pylist()], type=pa.list_(v.type)) for k, v in arrays.items()})
+    return spark.createDataFrame(row).select(F.struct(*arrays).alias("c")).scalar()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _slots(pairs: tuple[tuple[int, int, int], ...]) -> list[int]:
@@ -92,47 +106,124 @@ def _slots(pairs: tuple[tuple[int, int, int], ...]) -> list[int]:
     return table
 
 
+def _bits(pieces: set[bytes], width: int) -> np.ndarray:
+    """A bit for every text of so many bits, set for the given ones, in longs."""
+    bits = np.zeros(1 << width, dtype=np.uint8)
+    bits[[int.from_bytes(p, "big") for p in pieces]] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 class Encoder:
     """Columns that encode and decode with one vocabulary."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, spark: SparkSession, path: str = VOCABULARY):
         v = vocabulary(path)
         if len(v.pieces) + OFFSET >= 0xD800:
             raise ValueError("the vocabulary is too large for one character a token")
-        self.table = _array(_slots(v.pairs), "bigint")
         left_right = {c: chr(a + OFFSET) + chr(b + OFFSET) for a, b, c in v.pairs}
-        self.pair_of = _array([left_right.get(i, "") for i in range(len(v.pieces))], "string")
-        self.char_of = _array([chr(i + OFFSET) for i in range(len(v.pieces))], "string")
-        self.bytes_of = _array([chr(i + OFFSET) for i in v.byte_ids], "string")
-        self.hex_of = _array([p.hex() for p in v.pieces], "string")
-
-    def _rank(self, a: Column, b: Column) -> Column:
+        self.arrays = {
+            "ranks": pa.array(_slots(v.pairs), pa.int64()),
+            "pair_of": pa.array([left_right.get(i, "") for i in range(len(v.pieces))]),
+            "char_of": pa.array([chr(i + OFFSET) for i in range(len(v.pieces))]),
+            "byte_id": pa.array(v.byte_ids, pa.int64()),
+            "twos": pa.array(_bits({p for p in v.pieces if len(p) == 2}, 16)),
+            "threes": pa.array(_bits({p[i : i + 3] for p in v.pieces for i in range(len(p) - 2)}, 24)),
+        }
+        self.spark, self.pieces = spark, v.pieces
+
+    @staticmethod
+    def _rank(ranks: Column, a: Column, b: Column) -> Column:
         key = a * 65536 + b
-        one, two = F.get(self.table, (F.shiftright(key * MIX, 24) % HALF).cast("int")), F.get(self.table, (F.shiftright(key * MIX2, 20) % HALF + HALF).cast("int"))
+        one, two = F.get(ranks, (F.shiftright(key * MIX, 24) % HALF).cast("int")), F.get(ranks, (F.shiftright(key * MIX2, 20) % HALF + HALF).cast("int"))
         return F.when(F.shiftright(one, 16) == key, one % 65536).when(F.shiftright(two, 16) == key, two % 65536).cast("int")
 
-    def _step(self, state: Column) -> Column:
+    @classmethod
+    def _step(cls, t: Column, state: Column) -> Column:
         def merged(ids: Column) -> Column:
-            lowest = F.array_min(F.transform(ids, lambda x, i: self._rank(x, F.get(ids, i + 1))))
-            return F.get(
-                F.transform(F.array(lowest), lambda r: F.when(r.isNull(), F.struct(state["s"].alias("s"), F.lit(False).alias("on"))).otherwise(F.struct(F.replace(state["s"], F.get(self.pair_of, r), F.get(self.char_of, r)).alias("s"), F.lit(True).alias("on")))),
-                F.lit(0),
-            )
+            lowest = F.array_min(F.transform(ids, lambda x, i: cls._rank(t["ranks"], x, F.get(ids, i + 1))))
+            done = F.struct(state["s"].alias("s"), F.lit(False).alias("on"))
+            return let(lowest, lambda r: F.when(r.isNull(), done).otherwise(F.struct(F.replace(state["s"], F.get(t["pair_of"], r), F.get(t["char_of"], r)).alias("s"), F.lit(True).alias("on"))))
 
         codes = F.transform(F.split(state["s"], ""), lambda c: (F.ascii(c) - OFFSET).cast("bigint"))
-        return F.when(~state["on"], state).otherwise(F.get(F.transform(F.array(codes), merged), F.lit(0)))
+        return F.when(~state["on"], state).otherwise(let(codes, merged))
+
+    @classmethod
+    def _short_step(cls, t: Column, state: Column) -> Column:
+        """One merge: the leftmost pair of the lowest rank; only the ranks beside it are looked up again."""
+        ids, ranks, n = state["ids"], state["ranks"], F.size(state["ids"])
+
+        def merge(r: Column, p: Column) -> Column:
+            left = F.when(p > 1, F.array(cls._rank(t["ranks"], F.get(ids, p - 2), r))).otherwise(F.array().cast("array<int>"))
+            right = F.array(cls._rank(t["ranks"], r, F.get(ids, p + 1)))
+            new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(r), F.slice(ids, p + 2, n))
+            new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n))
+            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"), F.array_min(new_ranks).cast("bigint").alias("low"))
+
+        place = lambda r: F.array_position(ranks, r.cast("int")).cast("int")
+        return F.when(state["low"].isNull(), state).otherwise(let(state["low"], lambda r: let(place(r), lambda p: merge(r, p))))
+
+    @classmethod
+    def _short(cls, t: Column, latin: Column) -> Column:
+        """Ids of a piece of few bytes, merged pair by pair."""
+
+        def fold(ids: Column) -> Column:
+            ranks = F.transform(ids, lambda x, i: cls._rank(t["ranks"], x, F.get(ids, i + 1)))
+            first = let(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.array_min(r).cast("bigint").alias("low")))
+            steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
+            return F.aggregate(steps, first, lambda state, _: cls._short_step(t, state), lambda state: state["ids"].cast("array<int>"))
+
+        return let(F.transform(F.split(latin, ""), lambda c: F.get(t["byte_id"], F.ascii(c))), fold)
+
+    @classmethod
+    def _long(cls, t: Column, latin: Column) -> Column:
+        """Ids of a piece of many bytes: every occurrence of the lowest pair is merged at once."""
+        start = F.array_join(F.transform(F.split(latin, ""), lambda c: F.get(t["char_of"], F.get(t["byte_id"], F.ascii(c)).cast("int"))), "")
+        steps = F.sequence(F.lit(1), F.greatest(F.length(latin) - 1, F.lit(1)))
+        folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(True).alias("on")), lambda state, _: cls._step(t, state), lambda state: state["s"])
+        return F.transform(F.split(folded, ""), lambda c: F.ascii(c) - OFFSET)
+
+    @classmethod
+    def _pieces(cls, t: Column, latin: Column) -> Column:
+        """The word cut wherever no token of the vocabulary can lie across: none is the two bytes there, and none holds
+        them with the byte before or the byte after. No merge crosses such a place, so the pieces are encoded alone."""
+
+        def cut(codes: Column) -> Column:
+            held = lambda bits, at: F.getbit(F.get(bits, F.shiftright(at, 6)), at % 64) == 1
+            at = lambda i: F.get(codes, i)
+
+            def joined(x: Column, i: Column) -> Column:
+                two = at(i - 1) * 256 + x
+                before = F.coalesce(held(t["threes"], at(i - 2) * 65536 + two), F.lit(False))
+                return held(t["twos"], two) | before | F.coalesce(held(t["threes"], two * 256 + at(i + 1)), F.lit(False))
+
+            starts = F.filter(F.transform(codes, lambda x, i: F.when((i == 0) | ~joined(x, i), i)), lambda i: i.isNotNull())
+            return let(starts, lambda ss: F.transform(ss, lambda s, k: F.substring(latin, s + 1, F.coalesce(F.get(ss, k + 1), F.length(latin)) - s)))
+
+        return let(F.transform(F.split(latin, ""), lambda c: F.ascii(c)), cut)
+
+    @classmethod
+    def encode_word(cls, t: Column, word: Column) -> Column:
+        """Ids of one word of the pattern; t is the struct of the encoder's arrays.
+
+        A long word is cut into pieces no merge can cross, of which each different one is folded once."""
+        one = lambda p: F.when(F.length(p) <= SHORT, cls._short(t, p)).otherwise(cls._long(t, p))
+
+        def many(pieces: Column) -> Column:
+            different = F.array_distinct(pieces)
+            return let(different, lambda d: let(F.transform(d, one), lambda ids: F.flatten(F.transform(pieces, lambda p: F.get(ids, F.array_position(d, p).cast("int") - 1)))))
 
-    def encode_word(self, word: Column) -> Column:
-        """Ids of one word of the pattern."""
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        start = F.array_join(F.transform(F.split(latin, ""), lambda c: F.get(self.bytes_of, F.ascii(c))), "")
-        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(True).alias("on")), lambda state, _: self._step(state), lambda state: state["s"])
-        return F.transform(F.split(folded, ""), lambda c: F.ascii(c) - OFFSET)
+        return let(latin, lambda w: F.when(F.length(w) <= SHORT, cls._short(t, w)).otherwise(let(cls._pieces(t, w), many)))
+
+    def with_words(self, df: DataFrame, word: str, ids: str) -> DataFrame:
+        """df with the ids of a column of words."""
+        return df.withColumn(CONSTANT, constant(self.spark, **self.arrays)).select(*df.columns, let(F.col(CONSTANT), lambda t: self.encode_word(t, F.col(word))).alias(ids))
 
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a list of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex_of, i)), ""))
+    def with_bytes(self, df: DataFrame, ids: str, out: str) -> DataFrame:
+        """df with the bytes of a column of lists of ids."""
+        pieces = constant(self.spark, hexes=pa.array([p.hex() for p in self.pieces]))
+        decoded = lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["hexes"], i)), ""))
+        return df.withColumn(CONSTANT, pieces).select(*df.columns, let(F.col(CONSTANT), decoded).alias(out))
 
 
 def words(text: Column) -> Column:
@@ -155,29 +246,39 @@ def common_words(texts: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 class Lookup:
-    """The literal table of common words with their ids: two slots per word, the commonest words placed first."""
+    """The table of common words with their ids: a word is in one of two places, and the commoner words choose first."""
 
-    def __init__(self, encoder: Encoder, common: DataFrame, spark: SparkSession):
+    def __init__(self, encoder: Encoder, common: DataFrame):
         self.encoder = encoder
-        h = [F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("a"), F.pmod(F.hash("word"), F.lit(SLOTS)).cast("int").alias("b")]
-        rows = common.repartition(max(1, spark.sparkContext.defaultParallelism)).select("word", "n", encoder.encode_word(F.col("word")).alias("ids"), *h).collect()
-        table: list = [None] * SLOTS
+        spark = encoder.spark
+        parts = max(1, spark.sparkContext.defaultParallelism)
+        rows = encoder.with_words(common.repartition(parts).select(*(p(F.col("word")).alias(f"at{i}") for i, p in enumerate(self.PLACE)), "word", "n"), "word", "ids").collect()
+        table: list = [None] * PLACES
         for r in sorted(rows, key=lambda r: (-r["n"], r["word"])):
-            at = r["a"] if table[r["a"]] is None else r["b"]
+            at = r["at0"] if table[r["at0"]] is None else r["at1"]
             if table[at] is None:
                 table[at] = {"w": r["word"], "i": r["ids"]}
-        self.table = _array(table, "struct<w:string,i:array<int>>")
+        self.table = pa.array(table, pa.struct([("w", pa.string()), ("i", pa.list_(pa.int32()))]))
+
+    PLACE = tuple(lambda word, h=h: F.pmod(h(word), F.lit(PLACES)).cast("int") for h in (F.xxhash64, F.hash))
+
+    def with_ids(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """df with a column ids: those of its texts."""
+        encoder = self.encoder
 
-    def ids(self, text: Column) -> Column:
-        def of(word: Column) -> Column:
-            one, two = (F.get(self.table, F.pmod(h(word), F.lit(SLOTS)).cast("int")) for h in (F.xxhash64, F.hash))
-            return F.when(one["w"] == word, one["i"]).when(two["w"] == word, two["i"]).otherwise(self.encoder.encode_word(word))
+        def of(t: Column) -> Column:
+            # every word's entry first, then a comparison: two light passes cost less than one that looks up twice
+            entries = lambda ws: let(t["table"], lambda at: F.transform(ws, lambda w: F.get(at, self.PLACE[0](w))))
+            second = lambda w: let(F.get(t["table"], self.PLACE[1](w)), lambda e: F.when(e["w"] == w, e["i"]).otherwise(encoder.encode_word(t, w)))
+            chosen = lambda ws, es: F.zip_with(ws, es, lambda w, e: F.when(e["w"] == w, e["i"]).otherwise(second(w)))
+            return let(words(F.col(text)), lambda ws: F.flatten(chosen(ws, entries(ws))))
 
-        return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(F.flatten(F.transform(words(text), of)))
+        ids = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.array().cast("array<int>")).otherwise(let(F.col(CONSTANT), of))
+        return df.withColumn(CONSTANT, constant(encoder.spark, **encoder.arrays, table=self.table)).select(*df.columns, ids.alias("ids"))
 
 
 def encode(documents: DataFrame, path: str = VOCABULARY, most: int = DICTIONARY) -> DataFrame:
     """documents with the column ids: array<int> of its column text."""
-    encoder = Encoder(path)
-    lookup = Lookup(encoder, common_words(documents, most), documents.sparkSession)
-    return documents.withColumn("ids", lookup.ids(F.col("text")))
+    encoder = Encoder(documents.sparkSession, path)
+    lookup = Lookup(encoder, common_words(documents, most))
+    return lookup.with_ids(documents)
