@@ -34,19 +34,21 @@ BOUNDARIES = (
     (4, re.compile(rb"(" + NEWLINE + rb"[ \t]*" + NEWLINE + rb")\s*")),
     (3, re.compile(rb"(" + NEWLINE + rb")[ \t]*")),
     (2, re.compile(rb"((?:[.!?]|\xe2\x80\xa6|\xe0\xa5\xa4|\xd8\x9f|\xdb\x94|\xe3\x80\x82)[\"')\]]*)[ \t]+")),
-    (1, re.compile(rb"()\s+")),
 )
+SPACES = np.frombuffer(b" \t\n\r\f\v", dtype=np.uint8)  # beside them a cut has strength 1
 
 
 def strengths(data: bytes, ends: np.ndarray) -> np.ndarray:
     """Per token end (its offset in the text's bytes): the strength of a cut there, -1 where it would divide a character."""
-    out = np.zeros(len(ends), dtype=np.int8)
+    codes = np.frombuffer(data + b"\0", dtype=np.uint8)
+    space = np.isin(codes, SPACES)
+    at = np.zeros(len(data) + 1, dtype=np.int8)  # per place in the text, so that a boundary is marked by one slice
+    at[1:] = space[1:] | space[:-1]
     for strength, pattern in reversed(BOUNDARIES):
         for m in pattern.finditer(data):
-            out[np.searchsorted(ends, m.end(1)) : np.searchsorted(ends, m.end(), "right")] = strength
-    following = np.frombuffer(data + b"\0", dtype=np.uint8)[ends]
-    out[(following & 0xC0) == 0x80] = -1
-    return out
+            at[m.end(1) : m.end() + 1] = strength
+    at[(codes & 0xC0) == 0x80] = -1
+    return at[ends]
 
 
 def cuts(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, reach: int = REACH) -> list[tuple[int, int]]:
@@ -91,7 +93,7 @@ def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, rea
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = coder.encode_ordinary(text)
+                ids = coder.encode_to_numpy(text, disallowed_special=())
                 if len(ids) <= limit:
                     continue
                 data, ends = text.encode(), np.cumsum(sizes[ids])
