@@ -16,7 +16,8 @@ connected components are the firm groups.
 Weak evidence then links a group to another only where that other is the only candidate: initials, truncated words,
 nicknames, and a dropped common word.
 
-Edge cases: null and blank names have no group; a name of titles and legal forms only keeps its own text as its word;
+Edge cases: words over 64 letters match only letter for letter, words over 24 within one edit; null and blank names have
+no group; a name of titles and legal forms only keeps its own text as its word;
 a name that nothing resembles is a group of its own; repeated names count once; an empty table gives no rows.
 """
 
@@ -45,6 +46,7 @@ NICKNAMES = {
 }
 # ----------------------------------------------------------------------------------------------------------------------
 COMMON = 400
+WEAK_ROUNDS = 2  # the second sees what the first has joined: "T." fits Tom and Thomas, who are one by then
 RARER = 4  # a word is mended only into one this many times as common
 
 
@@ -69,10 +71,12 @@ def one_less(w: Column) -> Column:
 
 
 def deletions(word: Column) -> Column:
-    """The word and what is left of it without one letter, or without two where it has seven or more."""
+    """The word and what is left of it without one letter, or without two where it has seven or more.
+
+    Two letters go from words of up to 24 letters, one from words of up to 64; longer ones have too many variants."""
     one = one_less(word)
     two = F.flatten(F.transform(one, one_less))
-    return F.array_distinct(F.when(F.length(word) < 4, F.array(word)).when(F.length(word) < 7, F.array_append(one, word)).otherwise(F.array_append(F.concat(one, two), word)))
+    return F.array_distinct(F.when(~F.length(word).between(4, 64), F.array(word)).when(~F.length(word).between(7, 24), F.array_append(one, word)).otherwise(F.array_append(F.concat(one, two), word)))
 
 
 def bones(word: Column) -> Column:
@@ -211,12 +215,12 @@ def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame) -> DataFra
         for s in shorts.split("|"):
             nick.setdefault(s, []).append(full)
     nicknames = F.create_map(*(x for k, v in nick.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    prefixes = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.left(w, i))).otherwise(F.array())
+    prefixes = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.least(F.length(w) - 1, F.lit(24))), lambda i: F.left(w, i))).otherwise(F.array())
     asks = [_keys(sigs, "cut", lambda w: F.when((F.length(w) == 1) | (F.length(w) > 2), F.array(w)).otherwise(F.array())), _keys(sigs, "nick", lambda w: F.coalesce(F.try_element_at(nicknames, w), F.array()))]
     gives = [_keys(sigs, "cut", prefixes), _keys(sigs, "nick", lambda w: F.array(w))]
     # names of two words, the second misspelt too
     two = sigs.filter("size(words) = 2").select("sig", "kind", "words", F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).select("sig", "kind", F.get("words", "p").alias("word"), F.get("words", 1 - F.col("p")).alias("other"))
-    two = two.filter("length(other) > 6").withColumn("v", F.explode(F.array_append(one_less(F.col("other")), F.col("other"))))
+    two = two.filter("length(other) between 7 and 64").withColumn("v", F.explode(F.array_append(one_less(F.col("other")), F.col("other"))))
 
     def second(of: Column) -> DataFrame:
         return two.select("sig", "kind", "v", F.explode(of).alias("w")).select("sig", F.xxhash64(F.lit("two"), "kind", "v", "w").alias("key"))
@@ -243,8 +247,10 @@ def link(names: DataFrame) -> DataFrame:
     """kind, name, group for every distinct non-blank name of rows (kind, name)."""
     named, sigs, common = signatures(names)
     loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    firm = components(firm_edges(sigs).union(loops))
-    weak = materialize(weak_edges(sigs, firm, common), "name-weak")
-    merged = components(weak).withColumnRenamed("node", "group")
-    groups = firm.select(F.col("node").alias("sig"), F.col("label").alias("group")).join(merged, "group", "left").select("sig", F.coalesce("label", "group").alias("group"))
+    groups = components(firm_edges(sigs).union(loops)).select("node", "label")
+    for _ in range(WEAK_ROUNDS):
+        weak = materialize(weak_edges(sigs, groups, common), "name-weak")
+        merged = components(weak).toDF("label", "to")
+        groups = materialize(groups.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "name-groups")
+    groups = groups.toDF("sig", "group")
     return named.join(groups, "sig").select("kind", "name", "group")
