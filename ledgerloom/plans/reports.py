@@ -134,13 +134,17 @@ def supplier_items(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""
     WITH k AS (SELECT key, min(id) AS id FROM (SELECT id, trim(regexp_replace(regexp_replace(lower(description), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM catalog_items WHERE description IS NOT NULL) WHERE key <> '' GROUP BY key),
-    l AS (SELECT o AS line_id, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM (SELECT p_partkey AS o, p_name FROM part)),
+    l AS (SELECT id AS line_id, trim(regexp_replace(regexp_replace(lower(title), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM (SELECT max(title) AS title, id FROM jobs GROUP BY id) UNION ALL SELECT -id, key FROM k),
     e AS (SELECT line_id, id, 1 AS rung FROM l JOIN k USING (key)),
     c AS (SELECT line_id, arg_min(k.id, (-length(k.key), k.id)) AS id, 3 AS rung FROM l, k WHERE length(l.key) >= 6 AND length(k.key) >= 6 AND (contains(l.key, k.key) OR contains(k.key, l.key)) AND line_id NOT IN (SELECT line_id FROM e) GROUP BY line_id)
     SELECT * FROM e UNION ALL SELECT * FROM c"""
 )
 def catalog_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return matching.catalog_ladder(table(spark, d, "part").select(F.col("p_partkey").alias("line_id"), F.col("p_name").alias("description")), table(spark, d, "catalog_items"))
+    """Titles of jobs, and the catalogue's own keys, looked up in the catalogue."""
+    catalog = table(spark, d, "catalog_items").select("id", "description")
+    jobs = table(spark, d, "jobs").groupBy(F.col("id").alias("line_id")).agg(F.max("title").alias("description"))
+    own = catalog.select(text.catalog_key(F.col("description")).alias("description"), "id").filter("description <> ''").groupBy("description").agg((-F.min("id")).alias("line_id")).select("line_id", "description")
+    return matching.catalog_ladder(jobs.unionByName(own), catalog)
 
 
 # ---- one row of many ---------------------------------------------------------------------------------------------------------
