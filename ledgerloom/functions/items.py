@@ -9,8 +9,11 @@ SCHEMA = "struct<description:string,unit:string,qty:decimal(18,4),rate:decimal(1
 
 
 def elements(text: Column) -> Column:
-    """The elements of a JSON array as JSON texts; null where the text is no array."""
-    return F.from_json(text, "array<string>")
+    """The elements of a JSON array as JSON texts; null where the text is no array, or has more than the array.
+
+    Read as a field of an object, so that what follows the array makes the whole unreadable."""
+    whole = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x array<string>", {"allowSingleQuotes": "false"})
+    return whole["x"]
 
 
 def items(text: Column) -> Column:
