@@ -95,9 +95,8 @@ def mix(documents: DataFrame, weights: DataFrame, total: int | None = None, path
     drawn = texts.join(F.broadcast(plan), "source").select("doc_id", "source", copies.alias("copies"), "n_tokens").filter("copies > 0")
     names = spark.createDataFrame([(s, v[0], v[1], share.get(s, 0.0), held.get(s, 0)) for s, v in sorted(listed.items())], "source string, target_share double, max_repeats int, effective_share double, tokens_held bigint")
     sums = drawn.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_drawn"), F.max("copies").alias("copies"))
-    # a row per listed source
-    whole = drawn.agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("whole"))
-    report = names.join(F.broadcast(sums), "source", "left").crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "effective_share", "max_repeats", "tokens_held", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_texts", "copies", "tokens_drawn")), (F.coalesce(F.col("tokens_drawn"), F.lit(0)) / F.col("whole")).alias("actual_share")
+    whole = drawn.agg(F.sum(F.col("copies") * F.col("n_tokens"))).scalar()
+    report = names.join(F.broadcast(sums), "source", "left").select(  # both have a row per listed source
+        "source", "target_share", "effective_share", "max_repeats", "tokens_held", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_texts", "copies", "tokens_drawn")), (F.coalesce(F.col("tokens_drawn"), F.lit(0)) / whole).alias("actual_share")
     )
     return drawn, report

@@ -141,9 +141,8 @@ def alignment(a: str, b: str) -> Column:
     return cost(a, b)
 
 
-def mended(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mended(words: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """(word -> better word, common words with their counts) from rows (word, n) and the number of signatures."""
-    total = words.agg(F.max("signatures").alias("s")).first()["s"] or 0
     common = materialize(words.filter((F.col("n") * COMMON >= total) & (F.col("n") >= 5) & (F.length("word") > 3)).select(F.col("word").alias("full"), F.col("n").alias("many")), "name-common")
     rare = words.select("word", "n").filter(F.length("word") > 1)
     # Both sides of these joins are broadcast on purpose: `common` is bounded by COMMON.
@@ -178,8 +177,8 @@ def signatures(names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     full = F.filter("seq", lambda w: F.length(w) > 1)
     raw = materialize(raw.withColumn("seq", F.when(F.size(full) > 1, full).otherwise(F.col("seq"))), "name-raw")
     sets = raw.select("kind", F.array_sort("seq").alias("w")).distinct()
-    counted = sets.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).crossJoin(F.broadcast(sets.agg(F.count("*").alias("signatures"))))
-    fix, common = mended(materialize(counted, "name-words"))
+    counted = sets.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    fix, common = mended(materialize(counted, "name-words"), sets.count())
     single = raw.select("kind", "name", F.posexplode("seq").alias("p", "word")).join(fix, "word", "left")
     whole = single.groupBy("kind", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("full", "word").alias("w")))), lambda x: x["w"]).alias("seq"))
     named = whole.withColumn("words", F.array_sort("seq")).select("kind", "name", "words", F.array_join("seq", "").alias("run"), F.xxhash64("kind", "words").alias("sig"))
