@@ -7,11 +7,13 @@ Words are mended first: a rare word within one edit of a much commoner one, or a
 word, becomes that word. Common words are those on at least one in ``COMMON`` signatures, so there are at most
 COMMON * (words per name) of them; only that bounded list is broadcast.
 
-Candidates come from a symmetric-delete index. For each word of a signature, the key is the other words together with
-the word's deletion variants (up to two letters); two signatures within two edits in one word meet in a key, and no key
-gathers names for sharing a common word. Words typed without vowels and names typed without spaces have keys of their
-own. Every candidate pair is verified by the optimal assignment of its words (``align``), and the verified pairs'
-connected components are the firm groups.
+Candidates come from a symmetric-delete index over the distinct words: words that share a deletion variant (up to two
+letters), or of which one is the other typed without vowels, are near if ``word_cost`` says so. A signature's keys are
+its words, and its words with one exchanged for a near word; two signatures that differ in two words meet where each has
+taken one of the other's. Names of three and more words also have keys with two words exchanged, for one edit in each of
+three words. That is all the alignment can accept, and no key gathers names for sharing a common word. Names typed
+without spaces have a key of their own. Every candidate pair is verified by the optimal assignment of its words
+(``align``), and the verified pairs' connected components are the firm groups.
 
 Weak evidence then links a group to another only where that other is the only candidate: initials, truncated words,
 nicknames, and a dropped common word.
@@ -46,6 +48,7 @@ NICKNAMES = {
 }
 # ----------------------------------------------------------------------------------------------------------------------
 COMMON = 400
+LINKED = 0.75  # the cost up to which an alignment links two names
 WEAK_ROUNDS = 2  # the second sees what the first has joined: "T." fits Tom and Thomas, who are one by then
 RARER = 4  # a word is mended only into one this many times as common
 
@@ -133,6 +136,14 @@ def align(a: list[str], b: list[str]) -> float:
     return rest(0, 0) if len(a) <= 10 else 9.0
 
 
+def word_costs(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def cost(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([word_cost(x, y) for x, y in zip(left, right)], dtype="float64")
+
+    return cost(a, b)
+
+
 def alignment(a: str, b: str) -> Column:
     @F.pandas_udf("double")
     def cost(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -193,18 +204,42 @@ def _keys(sigs: DataFrame, tag: str, of) -> DataFrame:
     return each.select("sig", "kind", "rest", F.explode(of(F.col("word"))).alias("v")).select("sig", F.xxhash64(F.lit(tag), "kind", "rest", "v").alias("key")).distinct()
 
 
-def firm_edges(sigs: DataFrame) -> DataFrame:
+def near_words(sigs: DataFrame) -> DataFrame:
+    """word, other, cost, both ways: different words of the signatures that can be one word misspelt."""
+    words = materialize(sigs.select(F.explode("words").alias("word")).distinct(), "name-vocabulary")
+    keyed = materialize(words.filter("length(word) > 3").select("word", F.explode(deletions(F.col("word"))).alias("v")), "name-variants")
+    typos = keyed.alias("x").join(keyed.alias("y"), F.expr("x.v = y.v and x.word < y.word")).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"))
+    boned = words.filter("length(word) > 2").select(F.col("word").alias("full"), bones(F.col("word")).alias("word")).join(words, "word").filter("word <> full and length(word) > 2")
+    pairs = typos.union(boned.select(F.least("word", "full"), F.greatest("word", "full"))).distinct()
+    pairs = materialize(pairs.withColumn("cost", word_costs("a", "b")).filter(F.col("cost") <= LINKED), "name-near")
+    return pairs.union(pairs.select("b", "a", "cost")).toDF("word", "other", "cost")
+
+
+def respelled(sigs: DataFrame, near: DataFrame, after: str = "-1") -> DataFrame:
+    """sig, kind, words, p: the signatures with one word, at p > after, exchanged for a near one; words keep their places."""
+    each = sigs.select("sig", "kind", "words", F.expr(after).alias("at"), F.posexplode("words").alias("p", "word")).filter("p > at").join(near.select("word", "other"), "word")
+    return each.select("sig", "kind", F.transform("words", lambda w, i: F.when(i == F.col("p"), F.col("other")).otherwise(w)).alias("words"), "p")
+
+
+def firm_edges(sigs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """a, b: pairs of signatures that the alignment takes for one name."""
-    single = sigs.filter("size(words) = 1 and length(words[0]) > 6").select("sig", "kind", F.explode(deletions(F.col("words")[0])).alias("v")).select("sig", F.xxhash64(F.lit("one"), "kind", "v").alias("key"))
+    near = near_words(sigs) if near is None else near
     run = sigs.select("sig", "kind", F.explode("runs").alias("v")).select("sig", F.xxhash64(F.lit("run"), "kind", "v").alias("key"))
-    keys = _keys(sigs, "typo", deletions).union(_keys(sigs, "bones", lambda w: F.when(F.length(w) > 2, F.array(bones(w))).otherwise(F.array()))).union(single)
-
-    def meet(k: DataFrame) -> DataFrame:
-        return k.alias("x").join(k.alias("y"), F.expr("x.key = y.key and x.sig < y.sig")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    known = sigs.filter("size(words) > 1 or length(words[0]) > 6").select("sig", "kind", "words")
+    one = materialize(respelled(known, near), "name-one")
+    # three words with an edit each: two are exchanged here, the third in the other name
+    slight = near.filter(F.col("cost") <= LINKED / 3)
+    two = respelled(respelled(known.filter("size(words) > 2"), slight), slight, "p")
+    key = ("sig", F.xxhash64("kind", F.array_sort("words")).alias("key"))
+    once = one.select(*key).distinct()
+    keys = materialize(known.select(*key).union(once), "name-keys")
+
+    def meet(k: DataFrame, other: DataFrame) -> DataFrame:
+        return k.alias("x").join(other.alias("y"), F.expr("x.key = y.key and x.sig <> y.sig")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
     words = sigs.select("sig", "words")
-    pairs = meet(materialize(keys, "name-keys")).join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return pairs.filter(alignment("wa", "wb") <= 0.75).select("a", "b").union(meet(run))
+    pairs = meet(keys, keys).union(meet(two.select(*key).distinct(), once)).distinct().join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
+    return pairs.filter(alignment("wa", "wb") <= LINKED).select("a", "b").union(meet(run, run))
 
 
 def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame) -> DataFrame:

@@ -82,3 +82,23 @@ def test_alignment_is_optimal():
             right.remove(w)
         best = min((sum(N.word_cost(x, y) for x, y in zip(left, p)) for p in itertools.permutations(right)), default=0.0)
         assert min(N.align(a, b), 9) == pytest.approx(min(best, 9))
+
+
+def edited(rng, w):
+    i = rng.randrange(len(w))
+    return rng.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]])
+
+
+def test_index_finds_edits_in_several_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 10)))
+    every = set()
+    for _ in range(15):
+        a, b, c = word(), word(), word()
+        every |= {(a, b), (edited(rng, a), edited(rng, b)), (edited(rng, edited(rng, a)), edited(rng, b)), (a[0] + a[1:-1].translate(str.maketrans("", "", "aeiou")) + a[-1], edited(rng, b))}
+        every |= {(a, b, c), (edited(rng, a), edited(rng, b), c), (edited(rng, a), edited(rng, b), edited(rng, c))}
+    rows = [(i, "c", sorted(w), ["".join(w)]) for i, w in enumerate(sorted({tuple(sorted(w)) for w in every}))]
+    sigs = spark.createDataFrame(rows, "sig bigint, kind string, words array<string>, runs array<string>")
+    got = {tuple(r) for r in N.firm_edges(sigs).select(F.least("a", "b"), F.greatest("a", "b")).collect()}
+    want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if N.align(x[2], y[2]) <= 0.75 or x[3] == y[3]}
+    assert got == want and any(not set(rows[i][2]) & set(rows[j][2]) and len(rows[i][2]) == 3 for i, j in want)
