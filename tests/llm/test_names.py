@@ -102,3 +102,12 @@ def test_index_finds_edits_in_several_words(spark):
     got = {tuple(r) for r in N.firm_edges(sigs).select(F.least("a", "b"), F.greatest("a", "b")).collect()}
     want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if N.align(x[2], y[2]) <= 0.75 or x[3] == y[3]}
     assert got == want and any(not set(rows[i][2]) & set(rows[j][2]) and len(rows[i][2]) == 3 for i, j in want)
+
+
+@pytest.mark.parametrize("common", [400, 0])
+def test_misspelt_names_link_whether_or_not_their_words_are_common(spark, monkeypatch, common):
+    monkeypatch.setattr(N, "COMMON", common)  # 0: no word is common, as no surname is in a large table
+    pairs = [("Fabraunufazl Yuosef", "Yousef Fabraunufazol"), ("Brihirkothi Nico", "Nick Brihirkoti")]
+    others = [f"{first} Brihirkothi" for first in ("Ursula", "Penelope", "Gregory", "Deborah", "Charles", "Fatima")]
+    got = {r["name"]: r["group"] for r in N.link(spark.createDataFrame([("client", n) for n in [*sum(pairs, ()), *others]], "kind string, name string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 8
