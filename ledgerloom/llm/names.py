@@ -16,7 +16,9 @@ without spaces have a key of their own. Every candidate pair is verified by the
 (``align``), and the verified pairs' connected components are the firm groups.
 
 Weak evidence then links a group to another only where that other is the only candidate: initials, truncated words,
-nicknames, and a dropped common word.
+nicknames, and a dropped common word. A group without any such candidate is asked again with up to two of its other words
+misspelt: candidates meet in keys of exchanged words and are verified by the assignment that permits initials,
+truncations and nicknames (``align`` with short words), and again exactly one group must fit.
 
 Edge cases: words over 64 letters match only letter for letter, words over 24 within one edit; null and blank names have
 no group; a name of titles and legal forms only keeps its own text as its word;
@@ -118,7 +120,14 @@ def word_cost(a: str, b: str) -> float:
     return 9.0
 
 
-def align(a: list[str], b: list[str]) -> float:
+def short_cost(a: str, b: str) -> float:
+    """word_cost, and 0.25 where one word is the other's initial, beginning (of three letters or more) or nickname."""
+    short, long = sorted((a, b), key=len)
+    cut = short != long and (len(short) == 1 or len(short) > 2) and long.startswith(short)
+    return min(word_cost(a, b), 0.25 if cut or a in NICKNAMES.get(b, "").split("|") or b in NICKNAMES.get(a, "").split("|") else 9.0)
+
+
+def align(a: list[str], b: list[str], cost=word_cost) -> float:
     """Cost of the best assignment of the words of two names of equally many; names run together cost 0.1."""
     a, b = list(a), list(b)
     if len(a) != len(b):
@@ -128,7 +137,7 @@ def align(a: list[str], b: list[str]) -> float:
     def rest(i: int, used: int) -> float:
         if i == len(a):
             return 0.0
-        return min((word_cost(a[i], b[j]) + rest(i + 1, used | 1 << j) for j in range(len(b)) if not used >> j & 1), default=9.0)
+        return min((cost(a[i], b[j]) + rest(i + 1, used | 1 << j) for j in range(len(b)) if not used >> j & 1), default=9.0)
 
     for w in set(a) & set(b):  # equal words belong together: what is left is small
         a.remove(w)
@@ -144,10 +153,10 @@ def word_costs(a: str, b: str) -> Column:
     return cost(a, b)
 
 
-def alignment(a: str, b: str) -> Column:
+def alignment(a: str, b: str, by=word_cost) -> Column:
     @F.pandas_udf("double")
     def cost(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([align(x, y) for x, y in zip(left, right)], dtype="float64")
+        return pd.Series([align(x, y, by) for x, y in zip(left, right)], dtype="float64")
 
     return cost(a, b)
 
@@ -242,16 +251,36 @@ def firm_edges(sigs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     return pairs.filter(alignment("wa", "wb") <= LINKED).select("a", "b").union(meet(run, run))
 
 
-def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame) -> DataFrame:
-    """a, b: a group and the only other group that its short or incomplete spellings can mean."""
+def nickname_map() -> Column:
     nick: dict[str, list[str]] = {}
     for full, shorts in NICKNAMES.items():
         for s in shorts.split("|"):
             nick.setdefault(s, []).append(full)
-    nicknames = F.create_map(*(x for k, v in nick.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.create_map(*(x for k, v in nick.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+
+def short_keys(sigs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """sig, key of names with an initial, a truncation or a nickname, and of the names that these can mean."""
+    nicknames = nickname_map()
     prefixes = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.least(F.length(w) - 1, F.lit(24))), lambda i: F.left(w, i))).otherwise(F.array())
     asks = [_keys(sigs, "cut", lambda w: F.when((F.length(w) == 1) | (F.length(w) > 2), F.array(w)).otherwise(F.array())), _keys(sigs, "nick", lambda w: F.coalesce(F.try_element_at(nicknames, w), F.array()))]
-    gives = [_keys(sigs, "cut", prefixes), _keys(sigs, "nick", lambda w: F.array(w))]
+    return asks, [_keys(sigs, "cut", prefixes), _keys(sigs, "nick", lambda w: F.array(w))]
+
+
+def short_pairs(sigs: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b: a has a short word and up to two misspelt ones beside it where b has full ones; words are exchanged on both sides."""
+    full = materialize(sigs.select("sig", "kind", "words").union(respelled(sigs, near).select("sig", "kind", F.array_sort("words").alias("words"))), "name-full")
+    ask, give = (reduce(DataFrame.union, x) for x in short_keys(full))
+    met = ask.toDF("a", "key").join(give.toDF("b", "key"), "key").filter("a <> b").select("a", "b").distinct()
+    words = sigs.select("sig", "words")
+    met = met.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
+    return materialize(met.filter(alignment("wa", "wb", short_cost) <= LINKED).select("a", "b"), "name-short")
+
+
+def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame, short: DataFrame) -> DataFrame:
+    """a, b: a group and the only other group that its short or incomplete spellings can mean."""
+    nicknames = nickname_map()
+    asks, gives = short_keys(sigs)
     # names of two words, the second misspelt too
     two = sigs.filter("size(words) = 2").select("sig", "kind", "words", F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).select("sig", "kind", F.get("words", "p").alias("word"), F.get("words", 1 - F.col("p")).alias("other"))
     two = two.filter("length(other) between 7 and 64").withColumn("v", F.explode(F.array_append(one_less(F.col("other")), F.col("other"))))
@@ -274,16 +303,23 @@ def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame) -> DataFra
     low, high = F.when(F.col("low") != own, F.col("low")).otherwise(F.col("high")), F.when(F.col("high") != own, F.col("high")).otherwise(F.col("low"))
     other = wanted.withColumns({"x": low, "y": high}).filter((F.col("n") > 1) | (F.col("x") != own))
     one = other.groupBy("label").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("n").alias("n"), F.max(F.when((F.col("n") == 2) & (F.col("low") != own) & (F.col("high") != own), 1).otherwise(0)).alias("two"))
-    return one.filter("x = y and n < 3 and two = 0").select(F.col("label").alias("a"), F.col("x").alias("b"))
+    one = materialize(one, "name-asked")
+    exact = one.filter("x = y and n < 3 and two = 0").select(F.col("label").alias("a"), F.col("x").alias("b"))
+    # the others with words misspelt besides
+    met = short.join(of.join(one, "label", "left_anti").select("sig", "label").toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").filter("la <> lb")
+    loose = met.groupBy("la").agg(F.min("lb").alias("low"), F.max("lb").alias("high")).filter("low = high").select(F.col("la").alias("a"), F.col("low").alias("b"))
+    return exact.union(loose)
 
 
 def link(names: DataFrame) -> DataFrame:
     """kind, name, group for every distinct non-blank name of rows (kind, name)."""
     named, sigs, common = signatures(names)
     loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    groups = components(firm_edges(sigs).union(loops)).select("node", "label")
+    near = near_words(sigs)
+    groups = components(firm_edges(sigs, near).union(loops)).select("node", "label")
+    short = short_pairs(sigs, near)
     for _ in range(WEAK_ROUNDS):
-        weak = materialize(weak_edges(sigs, groups, common), "name-weak")
+        weak = materialize(weak_edges(sigs, groups, common, short), "name-weak")
         merged = components(weak).toDF("label", "to")
         groups = materialize(groups.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "name-groups")
     groups = groups.toDF("sig", "group")

@@ -111,3 +111,10 @@ def test_misspelt_names_link_whether_or_not_their_words_are_common(spark, monkey
     others = [f"{first} Brihirkothi" for first in ("Ursula", "Penelope", "Gregory", "Deborah", "Charles", "Fatima")]
     got = {r["name"]: r["group"] for r in N.link(spark.createDataFrame([("client", n) for n in [*sum(pairs, ()), *others]], "kind string, name string")).collect()}
     assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 8
+
+
+def test_short_words_link_beside_misspelt_ones(spark):
+    same = [("Thomas Nomapa", "T. Nompa"), ("Katherine Plodet Raguva", "Kathy Plodett Raguvva"), ("William Fogra", "Bill Fogrra"), ("Gregory Zofemau Mauvus", "Greg Zofemu Mauvus")]
+    apart = ["Daniel Hautrem Vesokom", "Deborah Hautrem Vesokom", "D. Hautrm Vesokom"]
+    got = {r["name"]: r["group"] for r in N.link(spark.createDataFrame([("client", n) for n in [*sum(same, ()), *apart]], "kind string, name string")).collect()}
+    assert all(got[a] == got[b] for a, b in same) and len(set(got.values())) == 7
