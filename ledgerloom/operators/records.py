@@ -32,17 +32,19 @@ def keep_newest_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def number_rows(df: DataFrame, order: list[str], start: Column | int = 0, name: str = "number") -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], start: Column | int = 0, name: str = "number", partitions: int | None = None) -> DataFrame:
     """Consecutive numbers in a total order, without gathering the rows in one task.
 
-    Rows are range-partitioned by the order; a partition's rows are numbered on their own and shifted by the sizes of the
-    partitions before it, of which there are as many as partitions."""
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    Rows are range-partitioned by the order and written once with the number of their range; ranges, their sizes and the
+    rows' places in them all come from what was written, so they agree whatever the plan samples or coalesces. A range's
+    rows are numbered on their own and shifted by the sizes of the ranges before it, of which there are few."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     shift = F.lit(start) if isinstance(start, int) else start
-    return parted.withColumn("_row", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + shift).drop("_part", "_row", "_before")
+    return ranged.withColumn("_row", inside).join(F.broadcast(before), "_part", "left").withColumn(name, F.col("_before") + F.col("_row") + shift).drop("_part", "_row", "_before")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], unions: list[str] = []) -> DataFrame:
@@ -91,18 +93,19 @@ def guarded_insert(existing: DataFrame, new: DataFrame, unique: list[str], paren
     return out.join(parent.select(F.col(parent_key).alias(foreign)).distinct(), foreign, "left_semi").select(new.columns) if parent is not None else out
 
 
-def resolve_chain(df: DataFrame, key: str = "id", to: str = "merged_into", rounds: int = 20) -> DataFrame:
+def resolve_chain(df: DataFrame, key: str = "id", to: str = "merged_into") -> DataFrame:
     """key, root: the end of each row's chain of references, by pointer doubling.
 
     A reference to an unknown row ends the chain. A cycle has no end: it, and what leads into it, resolves to its least
-    key. Every round doubles the length followed, so chains of up to 2**rounds are followed."""
+    key. Every round doubles the length followed; it ends when all chains have, or when that length exceeds the rows,
+    which only cycles outlast."""
     ids = df.select(F.col(key).alias("known"))
     links = df.select(F.col(key).alias("node"), F.col(to).alias("next"))
     links = links.join(ids, links["next"] == ids["known"], "left").select("node", F.coalesce("known", "node").alias("next"))
     links = materialize(links.withColumn("low", F.least("node", "next")), "chain")
     ends = links.filter("node = next").select(F.col("node").alias("next"), F.lit(True).alias("end"))
     ends = materialize(ends, "chain-ends")
-    for _ in range(rounds):
+    for _ in range(max(1, df.count().bit_length())):
         step = links.select(F.col("node").alias("next"), F.col("next").alias("after"), F.col("low").alias("low2"))
         new = materialize(links.join(step, "next").select("node", "next", "after", F.least("low", "low2").alias("low")), "chain")
         moved = new.filter("after <> next").limit(1).count()

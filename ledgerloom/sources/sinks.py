@@ -2,45 +2,37 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _path(spark: SparkSession, at: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+from ledgerloom.runtime import delete
+from ledgerloom.sources.buckets import point, pointed
 
 
 def publish(df: DataFrame, root: str, expected: int | None = None) -> str:
     """Write df as a new version under root and point root's readers at it, if its rows are as many as expected.
 
-    The pointer is a file renamed into place, so readers see the old version or the new one, never a part."""
+    A pointer is a small file renamed to a name of its own, and the highest name is the live one: readers see the old
+    version or the new one, never a part and never none."""
     spark = df.sparkSession
     version = f"v{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(f"{root}/{version}")
     n = spark.read.parquet(f"{root}/{version}").count()
     if expected is not None and n != expected:
-        path, fs = _path(spark, f"{root}/{version}")
-        fs.delete(path, True)
+        delete(spark, f"{root}/{version}")
         raise ValueError(f"{n} rows were written, {expected} expected; the live version stays")
-    made, fs = _path(spark, f"{root}/pointer-{version}.tmp")
-    out = fs.create(made, True)
-    out.write(bytearray(json.dumps({"version": version, "rows": n}).encode()))
-    out.close()
-    live, _ = _path(spark, f"{root}/current.json")
-    if fs.exists(live):
-        fs.delete(live, False)
-    fs.rename(made, live)
+    point(spark, root, {"version": version, "rows": n})
     return version
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    pointer = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/current.json").collect()))
-    return spark.read.parquet(f"{root}/{pointer['version']}")
+    live = pointed(spark, root)
+    if live is None:
+        raise FileNotFoundError(f"nothing was ever published at {root}")
+    return spark.read.parquet(f"{root}/{live['version']}")
 
 
 def blobs(df: DataFrame, column: str = "bytes") -> DataFrame:

@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.orphans import OrphanState, advance, empty_state
+from ledgerloom.operators.orphans import OrphanState, advance, state_at
 from ledgerloom.operators.records import keep_latest
-from ledgerloom.runtime import shared_dir
+from ledgerloom.runtime import materialize, scratch, shared_dir
+from ledgerloom.sources.buckets import BucketStore, pointed
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,40 +48,49 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "0 seconds"
     return _drain(events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], order: list[str]) -> DataFrame:
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], order: list[str], buckets: int = 64) -> DataFrame:
     """Keep at target the latest row per key of all micro-batches; re-running over the same input changes nothing.
 
-    Every batch writes a new version beside the old one and then moves the pointer, so a failed batch leaves no trace."""
-    from ledgerloom.sources.sinks import publish, published
-
+    The target is kept in buckets of the keys' hash (their number is fixed by the first run), and a batch reads and writes
+    those it touches. Offsets lie beside it, and the pointer that makes a batch live is the last thing it writes: a batch
+    that dies leaves no trace and is run again."""
     spark = stream.sparkSession
-
-    def merge(batch: DataFrame, _: int) -> None:
-        try:
-            batch = published(spark, target).unionByName(batch)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        publish(keep_latest(batch, keys, [F.col(c) for c in order]), target)
+    store = BucketStore(spark, target, {"rows": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)})
+    n = (pointed(spark, target) or {}).get("buckets", buckets)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if number > 0 and pointed(spark, target) is None:
+            raise FileNotFoundError(f"offsets say that batches were merged into {target}, but nothing was ever committed there")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("string").alias("bucket")
+        with scratch(spark):
+            new = materialize(keep_latest(batch, keys, [F.col(c) for c in order]).select("*", bucket), "upsert-batch")
+            touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+            merged = keep_latest(store.read("rows", touched).select("*", bucket).unionByName(new), [*keys, "bucket"], [F.col(c) for c in order])
+            store.commit({"rows": merged}, touched, buckets=n)
+        store.prune()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_state").trigger(availableNow=True).start().awaitTermination()
-    return published(spark, target)
+    return store.read("rows")
+
 
+def track_orphans(records: dict[str, DataFrame], removals: DataFrame, root: str | None = None) -> OrphanState:
+    """Feed streams of records and removals to the orphan state at root, a micro-batch at a time.
 
-def track_orphans(records: dict[str, DataFrame], removals: DataFrame) -> OrphanState:
-    """Feed streams of records and removals to the orphan state, a micro-batch at a time."""
+    State and offsets both lie at root, so a run that dies is taken up where it was; batches merge by minimum and maximum,
+    so one that was committed and is fed again changes nothing."""
     spark = removals.sparkSession
-    held = {"state": empty_state(spark)}
+    root = root or f"{shared_dir(spark)}/ledgerloom/orphans-{uuid.uuid4().hex}"
+    state = state_at(spark, root)
     none = {name: spark.createDataFrame([], s.schema) for name, s in records.items()}
     no_removals = spark.createDataFrame([], removals.schema)
 
     def feed(name: str | None):
         def step(batch: DataFrame, _: int) -> None:
-            held["state"] = advance(held["state"], none if name is None else none | {name: batch}, batch if name is None else no_removals)
+            advance(state, none if name is None else none | {name: batch}, batch if name is None else no_removals)
+            state.store.prune()
 
         return step
 
     for name, stream in [*records.items(), (None, removals)]:
-        at = f"{shared_dir(spark)}/ledgerloom/orphans-{uuid.uuid4().hex}"
-        stream.writeStream.foreachBatch(feed(name)).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return held["state"]
+        stream.writeStream.foreachBatch(feed(name)).option("checkpointLocation", f"{root}/_offsets/{name or 'removals'}").trigger(availableNow=True).start().awaitTermination()
+    return state

@@ -70,6 +70,76 @@ def test_orphan_stream(spark, tmp_path):
     assert rows(orphans.orphans(state), "table_name", "row_id", "field_name", "status") == EXPECTED
 
 
+def test_orphan_batches_touch_few_buckets(spark):
+    n, span = 20_000, 100
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    q = spark.range(1, n).select("id", at.alias("created_at"), at.alias("loaded_at"))
+    j = spark.range(1, n).select("id", F.col("id").alias("quotation_id"), at.alias("created_at"), at.alias("loaded_at"))
+    none = spark.createDataFrame([], R)
+    state = orphans.advance(orphans.empty_state(spark, span), {"quotations": q, "jobs": j}, none)
+    before = state.store.state()
+    small = j.filter(f"id >= {n - n // 100}").withColumn("id", F.col("id") + n)
+    state = orphans.advance(state, {"quotations": q.limit(0), "jobs": small}, none)
+    after = state.store.state()
+    touched = {b for b in after["refs"] if after["refs"][b] != before["refs"].get(b)}
+    assert len(touched) <= 0.05 * len(before["refs"]) and orphans.orphans(state).count() == 0
+    assert state.refs.count() == n - 1 + small.count()
+    state.store.prune(1)
+    assert orphans.state_at(spark, state.store.root, span).refs.count() == n - 1 + small.count()
+
+
+def test_orphan_stream_restarts_where_it_died(spark, tmp_path, monkeypatch):
+    records_, removed = history(spark)
+    for name, df in [*records_.items(), ("removed", removed)]:
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    read = lambda n: pipelines.file_stream(spark, f"{tmp_path}/{n}", 1)
+    run = lambda: pipelines.track_orphans({n: read(n) for n in records_}, read("removed"), f"{tmp_path}/state")
+    real, calls = orphans.advance, []
+
+    def dying(*a, **k):
+        calls.append(1)
+        out = real(*a, **k)
+        if len(calls) == 2:
+            raise RuntimeError("killed after its commit")
+        return out
+
+    monkeypatch.setattr(pipelines, "advance", dying)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert rows(orphans.orphans(run()), "table_name", "row_id", "field_name", "status") == EXPECTED
+    monkeypatch.setattr(pipelines, "advance", real)
+    records_["jobs"].filter("id = 14").withColumn("id", F.lit(18).cast("bigint")).write.mode("append").parquet(f"{tmp_path}/jobs")
+    assert ("jobs", 18, "quotation_id", "missing") in rows(orphans.orphans(run()), "table_name", "row_id", "field_name", "status")
+
+
+def test_scratch_deletes_all_but_what_is_kept(spark):
+    from ledgerloom.runtime import materialize, outside, scratch
+
+    with scratch(spark) as keep:
+        gone = materialize(spark.range(3), "gone")
+        files = gone.inputFiles()
+        with outside():
+            other = materialize(spark.range(4), "other")
+        with scratch(spark) as inner:
+            kept = inner(gone, "inner")
+        kept = keep(kept.filter("id > 0"), "kept")
+    assert kept.count() == 2 and other.count() == 4 and not any(__import__("os").path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from ledgerloom import runtime
+
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Spark)
+
+
 # ---- records ---------------------------------------------------------------------------------------------------------------
 def test_keep_first_latest_newest(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None)], "k string, t int, v string")
@@ -84,6 +154,21 @@ def test_number_rows(spark):
     assert got == list(range(6, 1006))
 
 
+def test_number_rows_of_wide_rows_in_many_ranges(spark):
+    n = 1_000_000
+    df = spark.range(0, n, 1, 9).select(F.xxhash64("id").alias("v"), "id", F.repeat(F.md5(F.col("id").cast("string")), 4).alias("wide"))
+    got = records.number_rows(df, ["v", "id"], partitions=64)
+    assert got.agg(F.count("*"), F.count_distinct("number"), F.min("number"), F.max("number")).first() == (n, n, 1, n)
+    assert records.number_rows(df.limit(0), ["v", "id"]).count() == 0
+
+
+def test_long_chains_and_cycles(spark):
+    n = 3000
+    df = spark.range(n).select("id", F.when(F.col("id") < 999, F.col("id") + 1).when((F.col("id") >= 1000) & (F.col("id") < n - 1), F.col("id") + 1).when(F.col("id") == n - 1, 1000).alias("merged_into"))
+    got = records.resolve_chain(df).groupBy("root").agg(F.count("*").alias("n"))
+    assert rows(got, "root", "n") == [(999, 1000), (1000, 2000)]
+
+
 def test_upsert_update_delete_guard(spark):
     old = spark.createDataFrame([(1, "a", ["x"]), (2, "b", None)], "id int, v string, s array<string>")
     new = spark.createDataFrame([(2, None, ["z"]), (3, "c", None), (1, "n", ["y"])], "id int, v string, s array<string>")
@@ -102,7 +187,7 @@ def test_upsert_update_delete_guard(spark):
 
 def test_chains_end_and_cycles_resolve(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 4), (6, 99), (7, 1), (8, 8)], "id int, merged_into int")
-    assert rows(records.resolve_chain(df, rounds=6), "id", "root") == [(1, 3), (2, 3), (3, 3), (4, 4), (5, 4), (6, 6), (7, 3), (8, 8)]
+    assert rows(records.resolve_chain(df), "id", "root") == [(1, 3), (2, 3), (3, 3), (4, 4), (5, 4), (6, 6), (7, 3), (8, 8)]
 
 
 def test_proportional_keeps_the_total(spark):
@@ -268,6 +353,27 @@ def test_blobs(spark):
         sinks.orphan_blobs(stored, [live.limit(0)])
 
 
+def test_upsert_stream_survives_a_crash_before_its_pointer(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import buckets
+
+    spark.createDataFrame([(k, 1, f"a{k}") for k in range(20)], "k int, t int, v string").write.parquet(f"{tmp_path}/in")
+    run = lambda: pipelines.upsert_stream(pipelines.file_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["t"], 4)
+    assert run().count() == 20
+    spark.createDataFrame([(3, 2, "new"), (99, 1, "z")], "k int, t int, v string").write.mode("append").parquet(f"{tmp_path}/in")
+    real = buckets.point
+    monkeypatch.setattr(buckets, "point", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert pipelines.BucketStore(spark, f"{tmp_path}/out", {"rows": "k int, t int, v string"}).read("rows").count() == 20
+    monkeypatch.setattr(buckets, "point", real)
+    got = {r["k"]: r["v"] for r in run().collect()}
+    assert len(got) == 21 and got[3] == "new" and got[4] == "a4" and got[99] == "z"
+    __import__("shutil").rmtree(f"{tmp_path}/out/_pointers")
+    spark.createDataFrame([(5, 2, "later")], "k int, t int, v string").write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="nothing was ever committed"):
+        run()
+
+
 def test_upsert_stream_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string").repartition(3).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
