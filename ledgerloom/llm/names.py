@@ -20,21 +20,21 @@ nicknames, and a dropped common word. A group without any such candidate is aske
 misspelt: candidates meet in keys of exchanged words and are verified by the assignment that permits initials,
 truncations and nicknames (``align`` with short words), and again exactly one group must fit.
 
-Edge cases: words over 64 letters match only letter for letter, words over 24 within one edit; null and blank names have
+Edge cases: words of any length match within their edits, truncations of up to ``PREFIX`` letters; null and blank names have
 no group; a name of titles and legal forms only keeps its own text as its word;
 a name that nothing resembles is a group of its own; repeated names count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.runtime import materialize
+from ledgerloom.runtime import materialize, scratch
 
 # --- fixed values: words of names ------------------------------------------------------------------------------------
 ACCENTS = ("áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ", "aaaaaaaeeeeeiiiiioooooouuuuucnyy")
@@ -52,6 +52,7 @@ NICKNAMES = {
 COMMON = 400
 LINKED = 0.75  # the cost up to which an alignment links two names
 WEAK_ROUNDS = 2  # the second sees what the first has joined: "T." fits Tom and Thomas, who are one by then
+PREFIX = 64  # letters that a truncation may leave
 RARER = 4  # a word is mended only into one this many times as common
 
 
@@ -78,12 +79,44 @@ def one_less(w: Column) -> Column:
 def deletions(word: Column) -> Column:
     """The word and what is left of it without one letter, or without two where it has seven or more.
 
-    Two letters go from words of up to 24 letters, one from words of up to 64; longer ones have too many variants."""
+    Two letters go from words of up to 24 letters, one from words of up to 64; longer ones have too many variants, and
+    meet by segments (long_segments)."""
     one = one_less(word)
     two = F.flatten(F.transform(one, one_less))
     return F.array_distinct(F.when(~F.length(word).between(4, 64), F.array(word)).when(~F.length(word).between(7, 24), F.array_append(one, word)).otherwise(F.array_append(F.concat(one, two), word)))
 
 
+LONG = 22  # letters beyond which two edits are found by segments: two under what deletions() takes whole
+
+
+def _segment(n: Column, i: Column) -> tuple[Column, Column]:
+    """Where segment i of five of a word of n letters begins, and its length."""
+    start = F.floor(n * i / 5).cast("int")
+    return start + 1, F.floor(n * (i + 1) / 5).cast("int") - start
+
+
+def long_segments(word: Column) -> Column:
+    """The five segments of a word, each with its number and the word's length. Two edits, of which a swap of neighbours may
+    spoil two segments, leave one of them whole."""
+
+    def key(i: Column) -> Column:
+        start, n = _segment(F.length(word), i)
+        return F.concat_ws(":", F.length(word), i, F.substring(word, start, n))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(4)), key)
+
+
+def long_probes(word: Column) -> Column:
+    """What long_segments of a word within two edits may hold: the texts at the places that two edits can reach."""
+    reach = F.sequence(F.lit(-2), F.lit(2))
+
+    def key(change: Column, i: Column, shift: Column) -> Column:
+        start, n = _segment(F.length(word) + change, i)
+        return F.concat_ws(":", F.length(word) + change, i, F.substring(word, F.greatest(start + shift, F.lit(1)), n))
+
+    return F.array_distinct(F.flatten(F.transform(reach, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(reach, lambda s: key(c, i, s)))))))
+
+
 def bones(word: Column) -> Column:
     """The word without the vowels inside it."""
     return F.concat(F.left(word, F.lit(1)), F.translate(F.substring(word, F.lit(2), F.greatest(F.length(word) - 2, F.lit(0))), "aeiou", ""), F.when(F.length(word) > 1, F.right(word, F.lit(1))).otherwise(""))
@@ -132,17 +165,42 @@ def align(a: list[str], b: list[str], cost=word_cost) -> float:
     a, b = list(a), list(b)
     if len(a) != len(b):
         return 9.0
-
-    @lru_cache(maxsize=None)
-    def rest(i: int, used: int) -> float:
-        if i == len(a):
-            return 0.0
-        return min((cost(a[i], b[j]) + rest(i + 1, used | 1 << j) for j in range(len(b)) if not used >> j & 1), default=9.0)
-
     for w in set(a) & set(b):  # equal words belong together: what is left is small
-        a.remove(w)
-        b.remove(w)
-    return rest(0, 0) if len(a) <= 10 else 9.0
+        for _ in range(min(a.count(w), b.count(w))):
+            a.remove(w)
+            b.remove(w)
+    costs = [[cost(x, y) for y in b] for x in a]
+    return min(9.0, assignment(costs)) if costs else 0.0
+
+
+def assignment(costs: list[list[float]]) -> float:
+    """Least sum of a square table with one entry of every row and column: a row at a time, by the shortest path that
+    makes room for it, under potentials that keep all reduced costs from falling below zero."""
+    n = len(costs)
+    rows, columns, taken = [0.0] * n, [0.0] * (n + 1), [-1] * (n + 1)
+    for i in range(n):
+        taken[n] = i
+        at, far, back, done = n, [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while taken[at] >= 0:
+            done[at] = True
+            row = taken[at]
+            for j in range(n):
+                d = costs[row][j] - rows[row] - columns[j]
+                if not done[j] and d < far[j]:
+                    far[j], back[j] = d, at
+            nearest = min((j for j in range(n) if not done[j]), key=lambda j: far[j])
+            step = far[nearest]
+            for j in range(n + 1):
+                if done[j]:
+                    rows[taken[j]] += step
+                    columns[j] -= step
+                elif j < n:
+                    far[j] -= step
+            at = nearest
+        while at < n:
+            taken[at] = taken[back[at]]
+            at = back[at]
+    return sum(costs[taken[j]][j] for j in range(n))
 
 
 def word_costs(a: str, b: str) -> Column:
@@ -219,6 +277,9 @@ def near_words(sigs: DataFrame) -> DataFrame:
     keyed = materialize(words.filter("length(word) > 3").select("word", F.explode(deletions(F.col("word"))).alias("v")), "name-variants")
     typos = keyed.alias("x").join(keyed.alias("y"), F.expr("x.v = y.v and x.word < y.word")).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"))
     boned = words.filter("length(word) > 2").select(F.col("word").alias("full"), bones(F.col("word")).alias("word")).join(words, "word").filter("word <> full and length(word) > 2")
+    long = words.filter(f"length(word) > {LONG}")
+    met = long.select("word", F.explode(long_probes(F.col("word"))).alias("v")).join(long.select(F.col("word").alias("full"), F.explode(long_segments(F.col("word"))).alias("v")), "v").filter("word < full and levenshtein(word, full, 4) between 1 and 4")
+    typos = typos.union(met.select("word", "full"))
     pairs = typos.union(boned.select(F.least("word", "full"), F.greatest("word", "full"))).distinct()
     pairs = materialize(pairs.withColumn("cost", word_costs("a", "b")).filter(F.col("cost") <= LINKED), "name-near")
     return pairs.union(pairs.select("b", "a", "cost")).toDF("word", "other", "cost")
@@ -262,7 +323,7 @@ def nickname_map() -> Column:
 def short_keys(sigs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """sig, key of names with an initial, a truncation or a nickname, and of the names that these can mean."""
     nicknames = nickname_map()
-    prefixes = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.least(F.length(w) - 1, F.lit(24))), lambda i: F.left(w, i))).otherwise(F.array())
+    prefixes = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.least(F.length(w) - 1, F.lit(PREFIX))), lambda i: F.left(w, i))).otherwise(F.array())
     asks = [_keys(sigs, "cut", lambda w: F.when((F.length(w) == 1) | (F.length(w) > 2), F.array(w)).otherwise(F.array())), _keys(sigs, "nick", lambda w: F.coalesce(F.try_element_at(nicknames, w), F.array()))]
     return asks, [_keys(sigs, "cut", prefixes), _keys(sigs, "nick", lambda w: F.array(w))]
 
@@ -313,14 +374,15 @@ def weak_edges(sigs: DataFrame, groups: DataFrame, common: DataFrame, short: Dat
 
 def link(names: DataFrame) -> DataFrame:
     """kind, name, group for every distinct non-blank name of rows (kind, name)."""
-    named, sigs, common = signatures(names)
-    loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    near = near_words(sigs)
-    groups = components(firm_edges(sigs, near).union(loops)).select("node", "label")
-    short = short_pairs(sigs, near)
-    for _ in range(WEAK_ROUNDS):
-        weak = materialize(weak_edges(sigs, groups, common, short), "name-weak")
-        merged = components(weak).toDF("label", "to")
-        groups = materialize(groups.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "name-groups")
-    groups = groups.toDF("sig", "group")
-    return named.join(groups, "sig").select("kind", "name", "group")
+    with scratch(names.sparkSession) as keep:
+        named, sigs, common = signatures(names)
+        loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+        near = near_words(sigs)
+        groups = components(firm_edges(sigs, near).union(loops)).select("node", "label")
+        short = short_pairs(sigs, near)
+        for _ in range(WEAK_ROUNDS):
+            weak = materialize(weak_edges(sigs, groups, common, short), "name-weak")
+            merged = components(weak).toDF("label", "to")
+            groups = materialize(groups.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "name-groups")
+        groups = groups.toDF("sig", "group")
+        return keep(named.join(groups, "sig").select("kind", "name", "group"), "name-linked")
