@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _typed(spark, sf_dir)
     rows = materialize(rows, "venue-rows")
     values = materialize(spark.sql("SELECT DISTINCT value FROM {rows}", rows=rows), "venue-values")
-    mapped = materialize(V.map_values(spark, values, names), "venue-mapped")
+    mapped = V.map_values(spark, values, names)
     return spark.sql("SELECT r.table_name, r.row_id, m.venue_id FROM {rows} r JOIN {mapped} m ON r.value = m.value", rows=rows, mapped=mapped)
 
 

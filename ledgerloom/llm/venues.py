@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.runtime import materialize
+from ledgerloom.runtime import materialize, scratch
 
 # --- fixed values: words and their canonical forms -------------------------------------------------------------------
 ACCENTS = ("áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ", "aaaaaaaeeeeeiiiiioooooouuuuucnyy")
@@ -57,7 +57,7 @@ TYPES = {
     "hospital": "hosp",
     "airport": "arpt",
 }
-TYPE_WORDS = sorted({*TYPES, "hall", "walk", "city", "golf", "arena", "plaza", "palace", "college", "terminal", "cinema", "island"} - {"island"})
+TYPE_WORDS = sorted({*TYPES, "hall", "walk", "city", "golf", "arena", "plaza", "palace", "college", "terminal", "cinema"})
 # ----------------------------------------------------------------------------------------------------------------------
 TABLES = ("quotations", "invoices", "jobs")
 
@@ -131,10 +131,13 @@ def typed_forms(spark: SparkSession, values: DataFrame, venues: DataFrame) -> Da
     """Per distinct typed value: its string without the list's places, its consonants where a word lacks vowels, its places."""
     return spark.sql(
         f"""
-        WITH g AS (SELECT array_distinct(flatten(collect_list(split(trim({canonical("concat_ws(' ', area, city)")}), ' ')))) AS places,
-                          array_distinct(flatten(collect_list(split({canonical("venue_name")}, ' ')))) AS used FROM {{venues}}),
-        t AS (SELECT value, split({canonical("value")}, ' ') AS w FROM {{values}}),
-        r AS (SELECT value, filter(w, x -> array_contains(g.places, x)) AS places, filter(w, x -> NOT array_contains(g.places, x) OR array_contains(g.used, x)) AS w FROM t CROSS JOIN g),
+        WITH place AS (SELECT DISTINCT explode(split(trim({canonical("concat_ws(' ', area, city)")}), ' ')) AS word FROM {{venues}}),
+        used AS (SELECT DISTINCT explode(split({canonical("venue_name")}, ' ')) AS word FROM {{venues}}),
+        known AS (SELECT p.word, u.word IS NOT NULL AS both FROM place p LEFT JOIN used u ON p.word = u.word),
+        each AS (SELECT value, posexplode(split({canonical("value")}, ' ')) AS (at, word) FROM {{values}}),
+        told AS (SELECT e.value, struct(e.at, e.word, k.word IS NOT NULL AS place, coalesce(k.both, true) AS kept) AS w FROM each e LEFT JOIN known k ON e.word = k.word),
+        whole AS (SELECT value, array_sort(collect_list(w)) AS ws FROM told GROUP BY value),
+        r AS (SELECT value, transform(filter(ws, x -> x.place), x -> x.word) AS places, transform(filter(ws, x -> x.kept), x -> x.word) AS w FROM whole),
         p AS (SELECT value, places, {_words("array_join(w, ' ')", False)} AS base, {_words("array_join(w, ' ')", True)} AS kind FROM r)
         SELECT value, places, concat(array_join(base, ''), array_join(kind, '')) AS s,
                CASE WHEN exists(base, w -> length(w) > 2 AND substring(w, 2, length(w) - 2) = translate(substring(w, 2, length(w) - 2), 'aeiou', '')) THEN {_bones("base")} || ' ' || array_join(kind, '') END AS bones
@@ -183,17 +186,19 @@ def best(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
 def map_values(spark: SparkSession, values: DataFrame, venues: DataFrame) -> DataFrame:
     """value, venue_id for the distinct non-blank strings of values(value); 0 reports a value with no entry."""
-    typed = materialize(typed_forms(spark, values, venues), "venue-typed")
-    listed = materialize(aliases(spark, venues), "venue-listed")
-    found = best(spark, pigeonhole_pairs(spark, typed, listed))
-    left = spark.sql("SELECT t.value, t.bones FROM {typed} t LEFT ANTI JOIN {found} f ON t.value = f.value", typed=typed, found=found)
-    return spark.sql(
-        """
-        WITH bones AS (SELECT bones, min(venue_id) AS venue_id FROM {listed} WHERE bones IS NOT NULL GROUP BY bones HAVING count(DISTINCT venue_id) = 1)
-        SELECT value, venue_id FROM {found}
-        UNION ALL SELECT l.value, coalesce(b.venue_id, 0L) FROM {left} l LEFT JOIN bones b ON l.bones = b.bones
-        """,
-        found=found,
-        left=left,
-        listed=listed,
-    )
+    with scratch(spark) as keep:
+        typed = materialize(typed_forms(spark, values, venues), "venue-typed")
+        listed = materialize(aliases(spark, venues), "venue-listed")
+        found = materialize(best(spark, pigeonhole_pairs(spark, typed, listed)), "venue-found")
+        left = spark.sql("SELECT t.value, t.bones FROM {typed} t LEFT ANTI JOIN {found} f ON t.value = f.value", typed=typed, found=found)
+        mapped = spark.sql(
+            """
+            WITH bones AS (SELECT bones, min(venue_id) AS venue_id FROM {listed} WHERE bones IS NOT NULL GROUP BY bones HAVING count(DISTINCT venue_id) = 1)
+            SELECT value, venue_id FROM {found}
+            UNION ALL SELECT l.value, coalesce(b.venue_id, 0L) FROM {left} l LEFT JOIN bones b ON l.bones = b.bones
+            """,
+            found=found,
+            left=left,
+            listed=listed,
+        )
+        return keep(mapped, "venue-mapped")
