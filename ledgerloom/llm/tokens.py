@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import materialize
+from ledgerloom.runtime import materialize, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bound of the table of common words that the driver gathers and every task holds.
@@ -280,5 +280,6 @@ class Lookup:
 def encode(documents: DataFrame, path: str = VOCABULARY, most: int = DICTIONARY) -> DataFrame:
     """documents with the column ids: array<int> of its column text."""
     encoder = Encoder(documents.sparkSession, path)
-    lookup = Lookup(encoder, common_words(documents, most))
+    with scratch(documents.sparkSession):
+        lookup = Lookup(encoder, common_words(documents, most))
     return lookup.with_ids(documents)
