@@ -39,3 +39,7 @@ def valid_until(quoted: Column, days: Column, as_of: Column) -> Column:
 
 def year_of(text: Column) -> Column:
     return F.get(F.split(text, "-"), F.lit(0)).try_cast("int")
+
+
+def due_date(issued: Column, terms_days: int) -> Column:
+    return F.date_add(issued, terms_days)

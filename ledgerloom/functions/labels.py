@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,31 +36,61 @@ def fill_dimensions(measured: Column, text: Column) -> Column:
     return F.struct(*(F.when(F.coalesce(measured[n], F.lit(0.0)) > 0, measured[n]).otherwise(F.coalesce(named[n], F.lit(0.0))).alias(n) for n, _ in SIZE_LABELS))
 
 
-def document_venue(file_name: Column, header_texts: Column, header_rows: Column, known: list[str]) -> Column:
-    """struct(venue, confidence) of a document, by the first rung that gives one: a labelled cell or text (high), a known
-    venue's name, in the list's order, or what follows @ in the file name (medium), the end of a subtitle (low), none.
+@dataclass(frozen=True)
+class Rung:
+    """Where candidates come from, what a good one is, and what it is worth."""
+
+    source: str
+    shortest: int
+    longest: int
+    refused: str  # a pattern no good candidate has
+    confidence: str
+    titled: str  # 'always', 'capitals' (where all letters are) or 'never'
+
+
+RUNGS = (
+    Rung("cells", 1, 10_000, r"^\d+(\.\d+)?$", "high", "capitals"),
+    Rung("labels", 2, 60, r"^\d+$", "high", "capitals"),
+    Rung("known", 1, 10_000, r"^$", "medium", "never"),
+    Rung("file name", 1, 41, r"^$", "medium", "always"),
+    Rung("subtitles", 2, 40, r"\d", "low", "always"),
+)
 
-    header_texts is an array of texts, header_rows an array of arrays of cells."""
-    texts = F.filter(F.coalesce(header_texts, F.array().cast("array<string>")), lambda t: t.isNotNull())
 
-    def beside(row: Column) -> Column:
+def _venue_candidates(file_name: Column, texts: Column, rows: Column, known: list[str]) -> dict[str, Column]:
+    """Source -> array of candidate texts in order."""
+    nothing = F.array().cast("array<string>")
+
+    def right_of_label(row: Column) -> Column:
         cells = F.transform(row, lambda c: strip(F.coalesce(c, F.lit(""))))
-        at = F.array_position(F.transform(cells, lambda c: c.rlike(VENUE_CELL)), F.lit(True))
-        after = F.slice(cells, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(cells))
-        return F.when(at > 0, F.get(F.filter(after, lambda c: (c != "") & ~c.rlike(r"^\d+(\.\d+)?$")), F.lit(0)))
+        at = F.array_position(F.transform(cells, lambda c: c.rlike(VENUE_CELL)), F.lit(True)).cast("int")
+        return F.when(at > 0, F.slice(cells, at + 1, F.size(cells))).otherwise(nothing)
+
+    tidy = lambda t: F.regexp_replace(t, r"^[ \-:|]+|[ \-:|]+$", "")
+    written = F.lower(F.concat_ws(" ", file_name, F.array_join(texts, " ")))
+    after_at = F.regexp_extract(file_name, r"@\s*([A-Za-z][A-Za-z0-9 &'-]{2,40})", 1)
+    without_date = strip(F.regexp_replace(F.substring_index(F.regexp_replace(strip(after_at), r"\s*-\s*\d", "\u0001"), "\u0001", 1), r"(?i)\.(pdf|xlsx|xls|docx)$", ""))
+    subtitles = F.filter(texts, lambda t: (F.length(strip(t)) <= 80) & t.rlike(r"\S - +\S"))
+    return {
+        "cells": F.flatten(F.transform(rows, right_of_label)),
+        "labels": F.transform(texts, lambda t: tidy(F.get(F.split(strip(F.regexp_extract(t, VENUE_LABEL, 1)), r"\s{2,}|\t"), F.lit(0)))),
+        "known": F.filter(F.array(*map(F.lit, known)) if known else nothing, lambda v: F.contains(written, F.lower(v))),
+        "file name": F.array(without_date),
+        "subtitles": F.transform(subtitles, lambda t: strip(F.regexp_extract(strip(t), r"(?: - +)(?!.* - )(.+)$", 1))),
+    }
+
 
+def document_venue(file_name: Column, header_texts: Column, header_rows: Column, known: list[str], rungs: tuple[Rung, ...] = RUNGS) -> Column:
+    """struct(venue, confidence) of a document: the first good candidate of the first rung that has one; none without any.
+
+    header_texts is an array of texts, header_rows an array of arrays of cells. By the standard rungs: a labelled cell, a
+    labelled text, a known venue's name in the list's order, what follows @ in the file name, the end of a subtitle."""
+    texts = F.filter(F.coalesce(header_texts, F.array().cast("array<string>")), lambda t: t.isNotNull())
     rows = F.coalesce(header_rows, F.array().cast("array<array<string>>"))
-    cell = F.get(F.filter(F.transform(rows, beside), lambda v: v.isNotNull()), F.lit(0))
-    trimmed = lambda t: F.regexp_replace(F.get(F.split(strip(F.regexp_extract(t, VENUE_LABEL, 1)), r"\s{2,}|\t"), F.lit(0)), r"^[ \-:|]+|[ \-:|]+$", "")
-    named = F.get(F.filter(F.transform(texts, trimmed), lambda v: F.length(v).between(2, 60) & ~v.rlike(r"^\d+$")), F.lit(0))
-    label = F.coalesce(cell, named)
-    label = F.when(label == F.upper(label), title_case(label)).otherwise(label)
-    everything = F.lower(F.concat_ws(" ", file_name, F.array_join(texts, " ")))
-    listed = F.get(F.filter(F.array(*(F.lit(v) for v in known)) if known else F.array().cast("array<string>"), lambda v: F.contains(everything, F.lower(v))), F.lit(0))
-    at_sign = F.regexp_extract(file_name, r"@\s*([A-Za-z][A-Za-z0-9 &'-]{2,40})", 1)
-    at_sign = strip(F.regexp_replace(F.get(F.split(strip(at_sign), r"\s*-\s*\d"), F.lit(0)), r"(?i)\.(pdf|xlsx|xls|docx)$", ""))
-    parts = lambda t: F.filter(F.transform(F.split(strip(t), " - "), strip), lambda p: p != "")
-    tails = F.transform(F.filter(texts, lambda t: (F.length(strip(t)) <= 80) & (F.size(parts(t)) > 1)), lambda t: F.element_at(parts(t), -1))
-    tail = F.get(F.filter(tails, lambda p: ~p.rlike(r"\d") & F.length(p).between(2, 40)), F.lit(0))
-    rung = lambda v, c: F.struct(v.alias("venue"), F.lit(c).alias("confidence"))
-    return F.when(label.isNotNull(), rung(label, "high")).when(listed.isNotNull(), rung(listed, "medium")).when(at_sign != "", rung(title_case(at_sign), "medium")).when(tail.isNotNull(), rung(title_case(tail), "low")).otherwise(rung(F.lit(NO_VENUE), "none"))
+    found = _venue_candidates(F.coalesce(file_name, F.lit("")), texts, rows, known)
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("venue"), F.lit("").alias("confidence")))
+    for r in rungs:
+        good = F.get(F.filter(found[r.source], lambda v, r=r: F.length(v).between(r.shortest, r.longest) & ~v.rlike(r.refused)), F.lit(0))
+        shown = {"always": title_case(good), "capitals": F.when(good == F.upper(good), title_case(good)).otherwise(good), "never": good}[r.titled]
+        out = out.when(good.isNotNull(), F.struct(shown.alias("venue"), F.lit(r.confidence).alias("confidence")))
+    return out.otherwise(F.struct(F.lit(NO_VENUE).alias("venue"), F.lit("none").alias("confidence")))

@@ -168,3 +168,24 @@ def share_summary(lines: Column, most: int = 5) -> Column:
 
 def share_link(phone: Column, text: Column) -> Column:
     return F.concat(F.lit("https://wa.me/"), F.regexp_replace(F.coalesce(phone, F.lit("")), r"\D", ""), F.lit("?text="), F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")))
+
+
+def mail_link(to: Column, subject: Column, body: Column) -> Column:
+    coded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    return F.concat(F.lit("mailto:"), F.coalesce(to, F.lit("")), F.lit("?subject="), coded(subject), F.lit("&body="), coded(body))
+
+
+def money(amount: Column) -> Column:
+    """1,234.56"""
+    return F.format_number(amount.cast("double"), 2)
+
+
+def document_number(prefix: str, number: Column) -> Column:
+    """PREFIX-0007: at least four digits."""
+    return F.format_string(f"{prefix}-%04d", number)
+
+
+def derived_code(category: Column, description: Column) -> Column:
+    """CAT-DES-CRI: the first three letters of a category and of up to two words of a description, for entries without a code."""
+    words = lambda c, n: F.slice(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)), 1, n)
+    return F.array_join(F.transform(F.concat(words(category, 1), words(description, 2)), lambda w: F.upper(F.left(w, F.lit(3)))), "-")

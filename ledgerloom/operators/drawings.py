@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.shapes import point_to_segment
+from ledgerloom.functions.shapes import boxes_related, overlap_ratio, point_to_segment
+from ledgerloom.runtime import materialize, scratch
 
 PAGE = ["file", "page"]
 
@@ -88,34 +89,28 @@ def page_scale(spans: DataFrame) -> DataFrame:
     return mid.join(off, PAGE, "left").select(*PAGE, F.round("scale", 2).alias("scale"), F.coalesce("outliers", F.array().cast("array<int>")).alias("outliers"))
 
 
+def box(prefix: str = "") -> Column:
+    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 def cluster_spans(spans: DataFrame, gap: float = 0.12) -> DataFrame:
-    """spans with cluster (from 0 within the page): boxes that cross or nearly touch a group's growing box join it.
-
-    The box grows with each member, so the order of joining matters; a page is one task, and a page's spans are few."""
-
-    def grow(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("token_id").reset_index(drop=True)
-        boxes, label, number = page[["x0", "y0", "x1", "y1"]].to_numpy(), [-1] * len(page), 0
-        for seed in range(len(page)):
-            if label[seed] >= 0:
-                continue
-            box, label[seed], moved = boxes[seed].copy(), number, True
-            while moved:
-                moved = False
-                for i in range(len(page)):
-                    if label[i] >= 0:
-                        continue
-                    b = boxes[i]
-                    w, h = min(box[2], b[2]) - max(box[0], b[0]), min(box[3], b[3]) - max(box[1], b[1])
-                    reach = gap * max(box[2] - box[0], box[3] - box[1], b[2] - b[0], b[3] - b[1], 1.0)
-                    if (w > 0 and h > 0) or (max(-w, 0) < reach and max(-h, 0) < reach):
-                        label[i], moved = number, True
-                        box = [min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3])]
-            number += 1
-        return page.assign(cluster=label)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema.fields) + ", cluster int"
-    return spans.groupBy(*PAGE).applyInPandas(grow, schema)
+    """spans with cluster (from 0 within the page): groups whose boxes cross or nearly touch are one, with the box of both.
+
+    Every round gives each group the least group of its page it is related to, until none is related to another; a
+    round's pairs are those of one page's groups, of all pages at once."""
+    label = spans.select(*PAGE, "token_id", F.col("token_id").alias("label"))
+    with scratch(spans.sparkSession) as keep:
+        while True:
+            label = materialize(label, "span-groups")
+            boxes = label.join(spans, [*PAGE, "token_id"]).groupBy(*PAGE, "label").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+            one, other = boxes.select(*PAGE, "label", box().alias("a")), boxes.select(*PAGE, F.col("label").alias("to"), box().alias("b"))
+            joined = one.join(other, PAGE).filter((F.col("to") < F.col("label")) & boxes_related(F.col("a"), F.col("b"), gap)).groupBy(*PAGE, "label").agg(F.min("to").alias("to"))
+            joined = materialize(joined, "span-related")
+            if not joined.limit(1).count():
+                break
+            label = label.join(joined, [*PAGE, "label"], "left").select(*PAGE, "token_id", F.coalesce("to", "label").alias("label"))
+        number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("label")) - 1
+        return keep(spans.join(label.withColumn("cluster", number).drop("label"), [*PAGE, "token_id"]).select(*spans.columns, "cluster"), "span-clusters")
 
 
 def elements(clustered: DataFrame) -> DataFrame:
@@ -128,26 +123,24 @@ def elements(clustered: DataFrame) -> DataFrame:
 
 
 def suppress_overlaps(tokens: DataFrame, most: float = 0.5) -> DataFrame:
-    """tokens of all reading passes without those a surer token overlaps: greedy by confidence, a page at a time."""
-
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["confidence", "token_id"], ascending=[False, True])
-        kept: list[tuple] = []
-        chosen = []
-        for r in page.itertuples():
-            box = (r.x0, r.y0, r.x1, r.y1)
-
-            def ratio(k: tuple) -> float:
-                w, h = max(0.0, min(k[2], box[2]) - max(k[0], box[0])), max(0.0, min(k[3], box[3]) - max(k[1], box[1]))
-                small = min((k[2] - k[0]) * (k[3] - k[1]), (box[2] - box[0]) * (box[3] - box[1]))
-                return w * h / small if small > 0 else 0.0
-
-            if all(ratio(k) <= most for k in kept):
-                kept.append(box)
-                chosen.append(r.Index)
-        return page.loc[chosen].sort_values("token_id")
-
-    return tokens.groupBy(*PAGE).applyInPandas(keep, tokens.schema)
+    """tokens of all reading passes without those a surer kept token overlaps.
+
+    Of two that overlap the less sure one yields, of equally sure ones the later. In rounds, tokens that yield to no token
+    still open are kept, and those yielding to a kept one are dropped; the surest open token is always settled."""
+    sure = F.struct((-F.col("confidence")).alias("c"), F.col("token_id").alias("t"))
+    ranked = tokens.select(*PAGE, "token_id", sure.alias("place"), box().alias("b"))
+    with scratch(tokens.sparkSession) as keep:
+        rival = ranked.select(*PAGE, F.col("token_id").alias("surer"), F.col("place").alias("surer_place"), F.col("b").alias("surer_b"))
+        yields = materialize(ranked.join(rival, PAGE).filter((F.col("surer_place") < F.col("place")) & (overlap_ratio(F.col("b"), F.col("surer_b")) > most)).select(*PAGE, "token_id", "surer"), "overlaps")
+        one, dropped = [*PAGE, "token_id"], yields.select(*PAGE, "token_id").limit(0)
+        edges = yields
+        while edges.limit(1).count():
+            firm = edges.select(*PAGE, F.col("surer").alias("token_id")).distinct().join(edges.select(*one).distinct(), one, "left_anti")
+            lost = materialize(edges.join(firm.withColumnRenamed("token_id", "surer"), [*PAGE, "surer"], "left_semi").select(*one).distinct(), "overlap-lost")
+            dropped = dropped.union(lost)
+            left = edges.join(lost, one, "left_anti")  # a dropped token neither yields any more nor makes others yield
+            edges = materialize(left.join(lost.withColumnRenamed("token_id", "surer"), [*PAGE, "surer"], "left_anti"), "overlap-edges")
+        return keep(tokens.join(dropped, one, "left_anti"), "tokens-kept")
 
 
 def images_to_rows(rows: DataFrame, images: DataFrame, above: float = 6.0) -> DataFrame:
@@ -186,3 +179,47 @@ def reconcile(elems: DataFrame) -> DataFrame:
     first = e.filter("_sig is not null").groupBy("_sig").agg(F.min(F.struct("file", "page", "element")).alias("_first"))
     e = e.join(first, "_sig", "left").withColumn("_own", F.col("_first") == F.struct("file", "page", "element"))
     return e.withColumns({"duplicate_of": F.when(~F.col("_own"), F.col("_first")), "include": F.coalesce("_own", F.lit(True))}).select(*elems.columns, "filled", "duplicate_of", "include")
+
+
+# --- fixed values: texts of a sheet that name no object -------------------------------------------------------------------
+SHEET_WORDS = r"(?i)^(scale|drawn|checked|date|rev|sheet|drawing\s*no|project|client|title|dwg|page)\b"
+ONLY_SIZE = r"(?i)^[\d\s.,:x×/-]+(\s*(mm|cm|m))?$"
+TITLE_WORDS = "wall|counter|kiosk|arch|stage|backdrop|partition|platform|riser|booth|display|elevation|plan|section|detail|unit"
+# ---------------------------------------------------------------------------------------------------------------------------
+
+
+def names_something(text: Column) -> Column:
+    """Whether a text can be an object's label: letters of some length that are no size and no field of the sheet."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return (F.length(t) >= 3) & ~t.rlike(ONLY_SIZE) & ~t.rlike(SHEET_WORDS) & t.rlike(r"\p{L}{2}")
+
+
+def cluster_labels(boxes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """boxes(file, page, cluster, x0..y1) with label: the text of the page nearest to the box's centre that names something."""
+    t = tokens.filter(names_something(F.col("text"))).select(*PAGE, F.trim("text").alias("label"), "token_id", ((F.col("x0") + F.col("x1")) / 2).alias("tx"), ((F.col("y0") + F.col("y1")) / 2).alias("ty"))
+    away = F.hypot(F.col("tx") - (F.col("x0") + F.col("x1")) / 2, F.col("ty") - (F.col("y0") + F.col("y1")) / 2)
+    near = boxes.join(t, PAGE).groupBy(*PAGE, "cluster").agg(F.min_by("label", F.struct(away, "token_id")).alias("label"))
+    return boxes.join(near, [*PAGE, "cluster"], "left")
+
+
+def cluster_shapes(boxes: DataFrame, arcs: DataFrame, least: float = 0.02) -> DataFrame:
+    """boxes with shape and sagitta_m: curved where the longest arc(file, page, chord, rise, x0..y1) that meets the box is
+    bowed enough for its chord, its rise measured by the box's px_per_m; flat (and 0) otherwise."""
+    a = arcs.select(*PAGE, "chord", "rise", *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
+    meets = (F.col("a_x0") <= F.col("x1")) & (F.col("a_x1") >= F.col("x0")) & (F.col("a_y0") <= F.col("y1")) & (F.col("a_y1") >= F.col("y0"))
+    top = boxes.join(a, PAGE).filter(meets).groupBy(*PAGE, "cluster").agg(F.max(F.struct("chord", "rise")).alias("_arc"))
+    out = boxes.join(top, [*PAGE, "cluster"], "left")
+    bowed = F.coalesce((F.col("px_per_m") > 0) & (F.col("_arc.chord") > 0) & (F.col("_arc.rise") / F.col("_arc.chord") >= least), F.lit(False))
+    return out.withColumn("shape", F.when(bowed, "curved").otherwise("flat")).withColumn("sagitta_m", F.when(bowed, F.round(F.col("_arc.rise") / F.col("px_per_m"), 3)).otherwise(0.0)).drop("_arc")
+
+
+def reading_order(tokens: DataFrame) -> DataFrame:
+    """tokens with place: their order within the page, by lines ten pixels high and then from the left."""
+    return tokens.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.bround(F.col("y0"), -1), "x0", "token_id")))
+
+
+def page_titles(spans: DataFrame) -> DataFrame:
+    """file, page, title: of the texts(file, page, token_id, text, size) that name something, the largest; a word that
+    titles drawings is worth twelve points."""
+    score = F.col("size") + F.when(F.lower("text").rlike(TITLE_WORDS), 12).otherwise(0)
+    return spans.filter(names_something(F.col("text"))).groupBy(*PAGE).agg(F.max_by(F.trim("text"), F.struct(score, "size", -F.col("token_id"))).alias("title"))

@@ -1,8 +1,8 @@
 """Nearest neighbours over stored vectors, exact and distributed.
 
-The query side and the corpus side are each cut into blocks; a pair of blocks is one task, which multiplies two matrices
-and keeps the k best per query, and the k best of all blocks are merged by an aggregate. Nothing is broadcast and no task
-holds more than two blocks, whatever the two sides' sizes."""
+The query side and the corpus side are each cut into blocks of about BLOCK_ROWS rows, so their numbers grow with the
+data; a pair of blocks is one task, which multiplies two matrices and keeps the k best per query, and the k best of all
+blocks are merged by an aggregate. Nothing is broadcast and a task holds two blocks, whatever the two sides' sizes."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 8192
+BLOCK = 8192  # queries multiplied at once
+BLOCK_ROWS = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,9 +31,9 @@ def _blocks(df: DataFrame, id_col: str, vector: str, n: int, name: str) -> DataF
     return df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name), F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_blocks: int = 4, corpus_blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, id, score (cosine), rank: the k most similar corpus rows of every query, itself excluded; ties go to the lower id."""
-    nq, nc = query_blocks, corpus_blocks
+    nq, nc = (max(least, -(-df.count() // block_rows)) for df, least in ((queries, 4), (corpus, 8)))
     q = _blocks(queries, id_col, vector, nq, "q").select("*", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("c")).select("q", "c", "id", "v")
     c = _blocks(corpus, id_col, vector, nc, "c").select("*", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q")).select("q", "c", "id", "v")
 
@@ -68,3 +69,41 @@ def crossfill(items: DataFrame, lowest: float = 0.70, firm: float = 0.82) -> Dat
     need = items.filter("coalesce(image_ref, '') = '' and not service").withColumnRenamed("id", "vec_id")
     best = nearest(need, have, 1).filter(F.col("score") >= lowest)
     return best.select(F.col("query_id").alias("id"), F.col("id").alias("donor"), "score", F.when(F.col("score") >= firm, "matched").otherwise("suggested").alias("label"))
+
+
+def mean_pool(rows: DataFrame, keys: list[str], vector: str, mask: str | None = None) -> DataFrame:
+    """keys, pooled: the mean of each key's unmasked vectors, brought to length 1; a mean of zeros stays as it is.
+
+    Sums are taken per dimension and combine before the shuffle. Null vectors and rows masked out (0, false or null) are
+    left out; a key without any other has no row."""
+    kept = rows.filter(F.col(vector).isNotNull())
+    kept = kept.filter(F.coalesce(F.col(mask).cast("int"), F.lit(0)) > 0) if mask else kept
+    each = kept.select(*keys, F.posexplode(vector).alias("_at", "_x")).groupBy(*keys, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    mean = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    return mean.withColumn("_n", norm).select(*keys, F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x)).alias("pooled"))
+
+
+def stale_vectors(items: DataFrame, stored: DataFrame, key: str = "id", version: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+    """(kept, stale): stored vectors whose item is as it was when they were made, and items that need theirs made anew."""
+    same = (items[key] == stored[key]) & items[version].eqNullSafe(stored[version])
+    return stored.join(items, same, "left_semi"), items.join(stored, same, "left_anti")
+
+
+def search(queries: DataFrame, library: DataFrame, as_of: Column, markup: float = 0.04, k: int = 5) -> DataFrame:
+    """query_id, rank, id, similarity (percent), rate, adjusted_rate, years: the k nearest of library(vec_id, embedding,
+    rate, quote_date), their rates carried forward to as_of."""
+    from ledgerloom.functions.dates import elapsed_years
+    from ledgerloom.operators.ledgers import uplifted
+
+    best = nearest(queries, library, k).withColumnRenamed("id", "vec_id")
+    told = best.join(library.drop("embedding"), "vec_id").withColumn("years", elapsed_years(F.col("quote_date"), as_of))
+    percent = similarity_percent(2 - 2 * F.col("score"))
+    return told.select("query_id", "rank", F.col("vec_id").alias("id"), percent.alias("similarity"), "rate", F.round(uplifted(F.col("rate"), F.col("years"), markup), 2).alias("adjusted_rate"), "years")
+
+
+def semantic_rung(lines: DataFrame, catalog: DataFrame, matched: DataFrame, lowest: float = 0.72) -> DataFrame:
+    """line_id, id, rung 4 for the lines that no earlier rung matched: the nearest catalogue vector, if near enough."""
+    open_ = lines.join(matched.select("line_id"), "line_id", "left_anti").withColumnRenamed("line_id", "vec_id")
+    best = nearest(open_, catalog, 1).filter(F.col("score") >= lowest)
+    return best.select(F.col("query_id").alias("line_id"), "id", F.lit(4).alias("rung"))
