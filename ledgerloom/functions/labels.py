@@ -90,7 +90,7 @@ def document_venue(file_name: Column, header_texts: Column, header_rows: Column,
     found = _venue_candidates(F.coalesce(file_name, F.lit("")), texts, rows, known)
     out = F.when(F.lit(False), F.struct(F.lit("").alias("venue"), F.lit("").alias("confidence")))
     for r in rungs:
-        good = F.get(F.filter(found[r.source], lambda v, r=r: F.length(v).between(r.shortest, r.longest) & ~v.rlike(r.refused)), F.lit(0))
+        good = F.get(F.filter(found[r.source], lambda v: F.length(v).between(r.shortest, r.longest) & ~v.rlike(r.refused)), F.lit(0))
         shown = {"always": title_case(good), "capitals": F.when(good == F.upper(good), title_case(good)).otherwise(good), "never": good}[r.titled]
         out = out.when(good.isNotNull(), F.struct(shown.alias("venue"), F.lit(r.confidence).alias("confidence")))
     return out.otherwise(F.struct(F.lit(NO_VENUE).alias("venue"), F.lit("none").alias("confidence")))

@@ -18,7 +18,7 @@ UNIT_RULES = (
 )
 BLANK_UNITS = ("", "none", "nan", "-", "n/a")
 LUMP_SUM_WORDS = "service|package|rental|lumpsum|lump sum"
-CLIENT_SUFFIXES = ("general trading", "establishment", "corporation", "fz llc", "limited", "company", "trading", "l l c", "corp", "llc", "fzc", "fze", "ltd", "inc", "est", "co")
+CLIENT_SUFFIXES = ("llc", "l l c", "fzc", "fze", "fz llc", "ltd", "limited", "inc", "co", "company", "corp", "corporation", "est", "establishment", "trading", "general trading")
 SERVICE_WORDS = r"(?i)\b(delivery|transport(ation)?|installation|install|crew|labour|labor|manpower|dismantl\w*|removal|freight|shipping|handling|rental|hire|supervis\w*|management fee|contingency|misc(ellaneous)?|sundr\w+|discount|vat|charges?|fees?)\b"
 NUMERIC_ONLY = r"(?i)^[\s$€£]*[-+(]?[\d,.\s]+%?\)?\s*(aed|usd|eur|dhs?|dirhams?)?\s*[-+)]?\s*$"
 DATE_ONLY = r"^\s*\d{1,4}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{1,4}\s*$"
@@ -69,7 +69,7 @@ def normalize_unit(unit: Column, description: Column) -> Column:
 def client_key(name: Column) -> Column:
     """Case, punctuation and trailing company suffixes ignored; a name that is a suffix stays."""
     s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\w\s]", " "), r"\s+", " "))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\b(l) (l) (c)\b", "llc"), rf"( ({'|'.join(CLIENT_SUFFIXES)}))+$", ""), " ", "")
+    return F.regexp_replace(F.regexp_replace(s, rf"( ({'|'.join(CLIENT_SUFFIXES)}))+$", ""), " ", "")
 
 
 def squeezed_key(name: Column) -> Column:

@@ -35,16 +35,16 @@ def units_normalized(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("unit_name").agg(F.count("*").alias("n"), F.count_distinct("u").alias("spellings"))
 
 
-@query("SELECT regexp_replace(lower(coalesce(name, '')), '[^\\w]', '', 'g') AS key, count(*) AS n, min(id) AS first_id FROM suppliers GROUP BY 1 HAVING count(*) > 1")
+@query(r"WITH k AS (SELECT id, name, regexp_replace(lower(coalesce(name, '')), '[^\w]', '', 'g') AS key FROM suppliers) SELECT key, count(*) OVER (PARTITION BY key) AS n, id, name FROM k WHERE key IN (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1)")
 def supplier_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "suppliers").withColumn("key", text.squeezed_key(F.col("name")))
-    return s.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+    """Suppliers entered under one key, with all members."""
+    return matching.duplicate_groups(table(spark, d, "suppliers"), text.squeezed_key(F.col("name")), ["id", "name"])
 
 
 _SUFFIXES = "|".join(text.CLIENT_SUFFIXES)
 
 
-@query(rf"SELECT key, count(*) AS n, count(DISTINCT client_name) AS spellings FROM (SELECT client_name, replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce(client_name, '')), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '\b(l) (l) (c)\b', 'llc', 'g'), '( ({_SUFFIXES}))+$', ''), ' ', '') AS key FROM quotations) GROUP BY key")
+@query(rf"SELECT key, count(*) AS n, count(DISTINCT client_name) AS spellings FROM (SELECT client_name, replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce(client_name, '')), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '( ({_SUFFIXES}))+$', ''), ' ', '') AS key FROM quotations) GROUP BY key")
 def client_keys(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "quotations").select("client_name", text.client_key(F.col("client_name")).alias("key"))
     return q.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("client_name").alias("spellings"))
@@ -125,10 +125,12 @@ def suppliers_without_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "suppliers").join(c, "id", "left_anti").select("id", "name")
 
 
-@query("SELECT s.id, count(*) AS items, CAST(min(c.rate) AS DOUBLE) AS lowest, CAST(max(c.rate) AS DOUBLE) AS highest FROM suppliers s JOIN catalog_items c ON c.supplier_id = s.id GROUP BY 1")
+@query("SELECT s.id, count(c.id) AS items, CAST(min(c.rate) AS DOUBLE) AS lowest, CAST(max(c.rate) AS DOUBLE) AS highest FROM suppliers s LEFT JOIN catalog_items c ON c.supplier_id = s.id GROUP BY 1")
 def supplier_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier, those without items with 0 and nulls."""
     c = table(spark, d, "catalog_items").groupBy(F.col("supplier_id").alias("id")).agg(F.count("*").alias("items"), F.min("rate").cast("double").alias("lowest"), F.max("rate").cast("double").alias("highest"))
-    return c.join(table(spark, d, "suppliers").select("id"), "id", "left_semi")
+    s = table(spark, d, "suppliers").select("id").distinct()
+    return s.join(c, "id", "left").select("id", F.coalesce("items", F.lit(0)).alias("items"), "lowest", "highest")
 
 
 @query(

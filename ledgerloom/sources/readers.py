@@ -8,7 +8,7 @@ from dataclasses import fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import clean_rate, first_number, looks_like_spec_line, normalize_unit, number_range, strip, trailing_numbers
+from ledgerloom.functions.text import clean_rate, first_number, looks_like_description, looks_like_spec_line, normalize_unit, number_range, strip, trailing_numbers
 
 # --- fixed values: header words and file names of the quotation folders ----------------------------------------------
 OWN_OUTPUT = r"_Quotation_\d{8}_\d{4}\.(xlsx|docx|pdf)$"
@@ -17,6 +17,10 @@ TOTAL_WORDS = "total|vat|amount|grand|sub total|subtotal|tax"
 ROLE_WORDS = (("description", "description|particulars|scope of work"), ("images", "image|photo|picture"), ("item_num", r"item #|item no|s\.no|sr no|sl no"), ("qty", "qty|quantity"))
 RATE_FIRM, RATE_LOOSE = "unit price|unit cost|unit rate|rate", "price|cost"
 CARD_ALIASES = {"category": "category", "itemcode": "code", "code": "code", "descriptionspecification": "description", "description": "description", "unit": "unit", "pricerangeaed": "price_range", "pricerange": "price_range", "avgcostaed": "avg_cost", "avgcost": "avg_cost", "typicalusage": "usage", "usage": "usage"}
+#: Text lines that name no item: fields of a document's head, and column headers standing alone.
+HEAD_WORDS = r"page |quotation #|date:|client:|venue:|location:|site:|attn|attention"
+COLUMN_WORDS = ("description", "item", "item description", "qty", "quantity", "rate", "unit price", "unit cost", "unit rate", "price", "cost", "amount", "total", "unit", "sr.no", "sr. no", "s.no", "s. no", "no.")
+TABLE_HEAD, TABLE_PRICE, GENERIC_ITEM = "description|item|particulars", "cost|rate|price|amount", ("item", "items", "item name", "element")
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -46,7 +50,12 @@ def column_roles(cells: DataFrame) -> DataFrame:
     keys = ["file", "sheet"]
     top = cells.filter("row <= 15 and col <= 15").withColumn("v", F.lower(strip(F.col("value"))))
     header = top.filter(F.col("v").rlike("description|particulars")).groupBy(*keys).agg(F.min("row").alias("header_row"))
-    row = top.join(header, keys).filter("row = header_row and v <> ''")
+    return roles_of(top.join(header, keys).filter("row = header_row and v <> ''"))
+
+
+def roles_of(row: DataFrame) -> DataFrame:
+    """file, sheet, header_row, role, col of the cells (v) of header rows."""
+    keys = ["file", "sheet"]
     role = F.when(F.col("v").rlike(TOTAL_WORDS), "total")
     for r, words in ROLE_WORDS:
         role = role.when(F.col("v").rlike(words), r)
@@ -118,6 +127,87 @@ def line_items(lines: DataFrame) -> DataFrame:
     return out.select("file", "page", "line_no", F.col("t.rest").alias("description"), qty.alias("qty"), rate.alias("rate"), total.alias("total"), F.when(n >= 3, F.when(fits, "high").otherwise("low")).otherwise("medium").alias("confidence"), specs.alias("specs"))
 
 
+def wrapped_items(lines: DataFrame, reach: int = 14, large: float = 10.0) -> DataFrame:
+    """file, page, line_no, description, unit, rate, tier, specs of lines(file, page, line_no, text), reading on where a price
+    isn't on the item's own line.
+
+    Tier 1 is a line that ends in two prices or more. Tier 2 takes, for another line that can be a description, the first
+    price over `large` of the next `reach` lines, else the last price there; the first short word in between is its unit,
+    and the lines up to that price are used up. What each line would take is a window over its page; which lines are
+    reached is then one fold over the page's jumps, of which a page has as many as lines."""
+    w = Window.partitionBy("file", "page").orderBy("line_no")
+    raw, low = strip(F.coalesce("text", F.lit(""))), F.lower(strip(F.coalesce("text", F.lit(""))))
+    headed = low.contains("description") & low.rlike("rate|price|amount|qty|unit")
+    title = (raw == F.upper(raw)) & raw.rlike(r"\p{L}") & ~raw.rlike(r"\d")
+    skipped = (F.length(raw) < 4) | low.rlike(HEAD_WORDS) | low.contains("total") | raw.rlike(r"^\d+(\.\d+)?$") | headed | low.isin(*COLUMN_WORDS) | title
+    read = lines.select("file", "page", "line_no", raw.alias("raw"), skipped.alias("skipped"), trailing_numbers(F.col("text")).alias("t"), clean_rate(F.coalesce("text", F.lit(""))).alias("price"))
+    spec = F.struct(F.col("raw").alias("text"), "price", looks_like_spec_line(F.col("raw")).alias("spec"), (F.col("raw") == "").alias("blank"))
+    read = read.withColumn("next", F.collect_list(spec).over(w.rowsBetween(1, reach))).withColumn("i", F.row_number().over(w))
+    n = F.size("t.numbers")
+    same_rate = F.when(n >= 3, F.get("t.numbers", n - 2)).otherwise(F.get("t.numbers", n - 1))
+    first = ~F.col("skipped") & looks_like_description(F.col("t.rest")) & (n >= 2) & (same_rate > 0)
+    priced = F.filter(F.transform("next", lambda x, i: F.struct((i + 1).alias("off"), x["price"].alias("price"))), lambda x: x["price"] > 0)
+    over = F.filter(priced, lambda x: x["price"] > large)
+    chosen = F.when(F.size(over) > 0, F.get(over, F.lit(0))).when(F.size(priced) > 0, F.element_at(priced, -1))
+    unit = F.when(F.size(over) > 0, F.get(F.filter(F.slice("next", F.lit(1), F.greatest(chosen["off"] - 1, F.lit(0))), lambda x: (F.length(x["text"]) < 8) & x["text"].rlike("[a-zA-Z]")), F.lit(0))["text"])
+    tier = F.when(first, 1).when(~F.col("skipped") & chosen.isNotNull() & looks_like_description(F.col("raw")), 2)
+    stop = F.array_position(F.transform(F.slice("next", 1, 8), lambda x: ~x["spec"] & ~x["blank"]), F.lit(True))
+    specs = F.transform(F.filter(F.slice("next", F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.least(F.size("next"), F.lit(8))).cast("int")), lambda x: x["spec"]), lambda x: x["text"])
+    told = read.withColumn("tier", tier).withColumn("jump", F.when(F.col("tier") == 2, chosen["off"] + 1).otherwise(1))
+    told = told.select("file", "page", "line_no", "i", "tier", "jump", F.when(F.col("tier") == 1, F.col("t.rest")).otherwise(F.col("raw")).alias("description"), F.when(F.col("tier") == 2, unit).alias("unit_word"), F.when(F.col("tier") == 1, same_rate).otherwise(chosen["price"]).alias("rate"), specs.alias("specs"))
+    jumps = told.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct("i", "jump"))).alias("js"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("seen"))
+    step = lambda s, x: F.when(x["i"] < s["next"], s).otherwise(F.struct((x["i"] + x["jump"]).alias("next"), F.array_append(s["seen"], x["i"]).alias("seen")))
+    reached = jumps.select("file", "page", F.explode(F.aggregate("js", start, step, lambda s: s["seen"])).alias("i"))
+    kept = told.filter("tier is not null").join(reached, ["file", "page", "i"])
+    return kept.select("file", "page", "line_no", "description", normalize_unit(F.col("unit_word"), F.col("description")).alias("unit"), "rate", "tier", "specs")
+
+
+def anchored_images(images: DataFrame, roles: DataFrame) -> DataFrame:
+    """file, sheet, row, image_ref: images(file, sheet, row, col, image_id, image_ref) by the row they are anchored in; where
+    a sheet has a column of images, only those anchored there. The last image of a row counts."""
+    column = roles.filter("role = 'images'").select("file", "sheet", F.col("col").alias("image_col"))
+    told = images.join(column, ["file", "sheet"], "left").filter("image_col is null or image_col = col")
+    return told.groupBy("file", "sheet", "row").agg(F.max_by("image_ref", "image_id").alias("image_ref"))
+
+
+def rows_with_images(cells: DataFrame, images: DataFrame) -> DataFrame:
+    """sheet_rows with image_ref, null where a row has none."""
+    return sheet_rows(cells).join(anchored_images(images, column_roles(chosen_cells(cells))), ["file", "sheet", "row"], "left")
+
+
+def page_images(images: DataFrame, most: int = 40) -> DataFrame:
+    """The first `most` images of every page, from the top."""
+    w = Window.partitionBy("file", "page").orderBy("y0", "image_id")
+    return images.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= most).drop("_at")
+
+
+def page_slice(pages: DataFrame, start: int = 1, count: int | None = None, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(pages from `start`, at most `count` and never past page `most`; file, n_pages, skipped per file)."""
+    last = min(most, start + count - 1) if count is not None else most
+    per = pages.groupBy("file").agg(F.count("*").alias("n_pages"), F.count_if(~F.col("page").between(start, last)).alias("skipped"))
+    return pages.filter(F.col("page").between(start, last)), per
+
+
+def located(files: DataFrame, names: DataFrame) -> DataFrame:
+    """name, path of the files(path, name) that bear the names, the first path where several do; null where none does."""
+    one = files.groupBy("name").agg(F.min("path").alias("path"))
+    return names.select("name").distinct().join(one, "name", "left")
+
+
+def document_headers(cells: DataFrame, rows: int = 6) -> DataFrame:
+    """file, sheet, header_row, role, col of tables of documents: the first of so many rows with a description-like and a
+    price-like cell; where no cell describes by name, a cell that just says item does."""
+    keys = ["file", "sheet"]
+    top = cells.filter(F.col("row") <= rows).withColumn("v", F.lower(strip(F.col("value"))))
+    header = top.groupBy(*keys, "row").agg(F.max(F.col("v").rlike(TABLE_HEAD)).alias("d"), F.max(F.col("v").rlike(TABLE_PRICE)).alias("p")).filter("d and p").groupBy(*keys).agg(F.min("row").alias("header_row"))
+    row = top.join(header, keys).filter("row = header_row and v <> ''")
+    roles = roles_of(row)
+    named = roles.filter("role = 'description'").select(*keys)
+    generic = row.filter(F.col("v").isin(*GENERIC_ITEM)).join(named, keys, "left_anti").groupBy(*keys, "header_row").agg(F.min("col").alias("col")).select(*keys, "header_row", F.lit("description").alias("role"), "col")
+    return roles.unionByName(generic)
+
+
 def rate_card(spark: SparkSession, path: str) -> DataFrame:
     """code, category, description, unit, avg_cost, low, high, usage; unpriced rows dropped, the last of a repeated code wins."""
     raw = spark.read.option("header", True).option("multiLine", True).csv(path)

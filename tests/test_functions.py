@@ -108,3 +108,39 @@ def test_items(values):
     assert [len(g) for g in got] == [0, 0, 0, 0, 0, 1, 1, 0]
     assert (float(got[5][0]["qty"]), float(got[5][0]["rate"])) == (2.0, 3.0)
     assert float(got[6][0]["qty"]) == 1000.5 and got[6][0]["rate"] is None
+
+
+def test_arches_runs_and_descriptions(values):
+    c = [F.col(x) for x in "abcd"]
+    got = values([(2.0, 3.0, 0.5, 0.0), (2.0, 3.0, 0.0, 1.25), (2.0, 3.0, 0.0, 0.2), (2.0, 0.0, 0.0, 0.0), (2.0, 0.6, 0.0, 0.0)], "a double, b double, c double, d double", shapes.arch_band(*c))
+    arc = lambda o, h: (lambda r: r * 2 * math.atan2(o / 2, r - h))(o * o / (8 * h) + h / 2)
+    assert [round(x, 6) for x in got] == [round(x, 6) for x in (2 * 2.5 + arc(2, 0.5), 2 * 2.5 + arc(2, 0.5), 2 * 2 + math.pi, 0.0, arc(2, 0.6))]
+    runs = values([("flat", 3.0, 0.0, 0.4, 0.0), ("curved", 3.0, 0.0, 0.4, 0.0), ("curved", 3.0, 2.0, 0.0, 90.0), ("curved", 3.0, 2.0, 0.0, 3.0), ("arch", 3.0, 2.0, 1.0, 90.0), (None, 3.0, 2.0, 1.0, 90.0), ("curved", None, 2.0, 1.0, 90.0)], "s string, l double, r double, h double, a double", shapes.developed_run(*(F.col(x) for x in ("s", "l", "r", "h", "a"))))
+    assert [round(x, 4) for x in runs] == [3.0, round(arc(3, 0.4), 4), round(math.pi, 4), 3.0, 3.0, 3.0, 0.0]
+    said = values([("ring", 0.0, 0.0, 0.0, 1.5, 1.0), ("ring", 0.0, 0.0, 0.0, 1.5, 0.0), ("arch", 2.0, 90.0, 0.0, 0.0, 0.0), ("curved", 0.0, 0.0, 0.4, 0.0, 0.0), ("curved", None, None, None, None, None), (None, 1.0, 1.0, 1.0, 1.0, 1.0)], "s string, r double, a double, h double, o double, i double", shapes.describe_shape(*(F.col(x) for x in ("s", "r", "a", "h", "o", "i"))))
+    assert said == ["ring, R1.500 m outer / R1.000 m inner", "disc, R1.500 m", "arc R2.000 m over 90.0 deg", "arc, 0.400 m rise", "arc, rise not stated", "flat"]
+    assert values([("ring",), ("arch",), ("flat",), (None,)], "s string", shapes.is_curved(F.col("s")), shapes.is_bent(F.col("s"))) == [(True, False), (True, True), (False, False), (False, False)]
+    one = values([tuple(float(v) for v in (0, 0, 0, 4, 6, 4, 6, 0)), (1.0,) * 8], ", ".join(f"p{i} double" for i in range(8)), shapes.chord_and_rise(*(F.col(f"p{i}") for i in range(8))))
+    assert [tuple(x) for x in one] == [(6.0, 3.0), (0.0, 0.0)]
+
+
+def test_assigned_dimensions_and_cutouts(values):
+    texts = ["600 x 400 x 300 mm and 9 m", "1 x 2 m, 5000 x 2400 mm", "WIDTH 3 m, HEIGHT 240 cm, 10 cm", "only 90 cm", "nothing", None]
+    got = values([(t,) for t in texts], "s string", shapes.assigned_dimensions(shapes.dimensions(F.col("s"))))
+    assert [tuple(r) for r in got] == [(0.6, 0.4, 0.3, "high", False), (5.0, 2.4, 0.0, "medium", False), (3.0, 2.4, 0.0, "low", False), (0.9, 0.0, 0.0, "low", False), (0.0, 0.0, 0.0, "none", False), (0.0, 0.0, 0.0, "none", False)]
+    found = values([(["WINDOW 1000 x 800 mm 2 nos", "CLEAR OPENING 4000 x 3500 mm", "niche", "opening 4000 x 3500 mm", None],), (None,)], "t array<string>", shapes.cutouts(F.col("t")))
+    assert [[tuple(x) for x in r] for r in found] == [[("Window", 1.0, 0.8, 2), ("Opening", 4.0, 3.5, 1)], []]
+    kept = values([(["WINDOW 1000 x 800 mm", "opening 4000 x 3500 mm"],)], "t array<string>", shapes.real_cutouts(shapes.cutouts(F.col("t")), F.lit(4.0), F.lit(3.5)))
+    assert [x["label"] for x in kept[0]] == ["Window"]
+    assert values([("Reception counter with wall",), ("main arch",), ("LED backdrop",), (None,)], "s string", shapes.item_type(F.col("s"))) == ["counter", "arch", "wall", "wall"]
+
+
+def test_formats(values):
+    from ledgerloom.operators import ledgers
+
+    assert values([(1234567.5,), (None,)], "d double", text.money(F.col("d"))) == ["1,234,567.50", None]
+    assert values([(7,), (12345,)], "d int", text.document_number("INV", F.col("d"))) == ["INV-0007", "INV-12345"]
+    assert values([("Wood", "Mdf board 18"), (None, "x")], "a string, b string", text.derived_code(F.col("a"), F.col("b"))) == ["WOO-MDF-BOA", ""]
+    assert values([("a@b.c", "Q 1", "hi & bye")], "a string, b string, c string", text.mail_link(F.col("a"), F.col("b"), F.col("c"))) == ["mailto:a@b.c?subject=Q%201&body=hi%20%26%20bye"]
+    assert [x if x is None else round(x, 3) for x in values([(100.0, 104.0), (100.0, 100.01), (0.0, 5.0)], "a double, b double", ledgers.accrued_percent(F.col("a"), F.col("b")))] == [4.0, None, None]
+    assert values([(["missing unit rate"],), (["Missing description", "x"],), (["did not reconcile"],), (["venue"],), (None,)], "r array<string>", ledgers.review_severity(F.col("r"))) == [0, 1, 2, 3, 3]

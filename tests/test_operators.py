@@ -306,6 +306,44 @@ def test_line_items(spark):
     assert got == [("Backdrop 10x6m", 2.0, 450.0, 900.0, "high", ["- printed fabric", "L 10m"]), ("Totem", 3.0, 120.0, 0.0, "medium", [])]
 
 
+def test_wrapped_items_use_up_their_lines(spark):
+    text = ["EVENT QUOTATION", "Description", "Client: Acme", "Backdrop 10x6m  2  450.00  900.00", "- printed fabric", "Stage platform wrapped", "over lines", "Sqm", "4", "1,200.00", "Registration desk", "5", "7", "Grand Total 900", "Note about nothing"]
+    df = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(text)] + [("f", 2, 0, None), ("g", 1, 0, "")], "file string, page int, line_no int, text string")
+    got = [(r["line_no"], r["description"], r["unit"], r["rate"], r["tier"]) for r in readers.wrapped_items(df).orderBy("file", "page", "line_no").collect()]
+    assert got == [(3, "Backdrop 10x6m", "Pcs", 450.0, 1), (4, "- printed fabric", "Sqm", 1200.0, 2), (10, "Registration desk", "Pcs", 7.0, 2)]
+    assert readers.wrapped_items(df.limit(0)).count() == 0
+
+
+def test_images_pages_and_files(spark):
+    cells = spark.createDataFrame(sheet("a", "Quotation", [["Description", "Photo", "Qty", "Rate"], ["Stage", None, "1", "500"], ["Desk", None, "2", "50"]]), CELLS)
+    images = spark.createDataFrame([("a", "Quotation", 2, 2, 1, "x"), ("a", "Quotation", 2, 2, 2, "y"), ("a", "Quotation", 3, 4, 3, "z")], "file string, sheet string, row int, col int, image_id int, image_ref string")
+    assert rows(readers.rows_with_images(cells, images).fillna("", ["image_ref"]), "description", "image_ref") == [("Desk", ""), ("Stage", "y")]
+    many = spark.createDataFrame([("f", 1, i, float(90 - i)) for i in range(50)], "file string, page int, image_id int, y0 double")
+    assert readers.page_images(many).agg(F.count("*"), F.min("image_id")).first() == (40, 10)
+    kept, per = readers.page_slice(spark.createDataFrame([("f", p) for p in range(1, 71)], "file string, page int"), 5, 3)
+    assert rows(kept, "page") == [(5,), (6,), (7,)] and rows(per, "n_pages", "skipped") == [(70, 67)]
+    files = spark.createDataFrame([("/b/x.pdf", "x.pdf"), ("/a/x.pdf", "x.pdf")], "path string, name string")
+    assert {r["name"]: r["path"] for r in readers.located(files, spark.createDataFrame([("x.pdf",), ("n.pdf",)], "name string")).collect()} == {"x.pdf": "/a/x.pdf", "n.pdf": None}
+    heads = spark.createDataFrame(sheet("d", "1", [["Note"], ["Item", "Qty", "Unit Cost"], ["Arch", "1", "5"]]) + sheet("e", "1", [["Item"], ["x"]]), CELLS)
+    assert rows(readers.document_headers(heads), "file", "header_row", "role", "col") == [("d", 2, "description", 1), ("d", 2, "qty", 2), ("d", 2, "rate", 3)]
+
+
+def test_summaries_refs_and_cards(spark):
+    lines = spark.createDataFrame([(1, 1, "Stage\noak", "Pcs", 2.0, 50.0), (1, 2, "Desk", "Pcs", 1.0, 100.0), (2, 1, None, None, None, None)], "doc_id int, line_no int, description string, unit string, qty double, rate double")
+    off = spark.createDataFrame([(1, "percent", 10.0)], "doc_id int, discount_type string, discount_value double")
+    got = {r["doc_id"]: tuple(None if v is None else float(v) for v in r[1:]) for r in sinks.document_summary(sinks.document_rows(lines), off).collect()}
+    assert got[1] == (2.0, 200.0, 20.0, 9.0, 189.0)
+    uri = "data:image/png;base64,AAEC"
+    df = spark.createDataFrame([(f'[{{"image":"{uri}","n":1}},5]',), ("[]",), ("broken",), (None,)], "j string")
+    out = [r[0] for r in df.select(sinks.refs_for_images(F.col("j"))).collect()]
+    digest = __import__("hashlib").sha256(bytes([0, 1, 2])).hexdigest()
+    assert out == [f'[{{"image":"{digest}","n":1}},5]', "[]", "broken", None]
+    card = spark.createDataFrame([("A", 1.0)], "code string, avg_cost double")
+    kept, refused = sinks.appended_cards(card, spark.createDataFrame([(" b ", 2.0), ("a", 3.0), ("", 1.0), ("c", 0.0), ("b", 5.0)], "code string, avg_cost double"))
+    assert rows(kept, "code", "avg_cost") == [("A", 1.0), ("B", 2.0)] and rows(refused, "code", "reason") == [("", "no code"), ("A", "code exists"), ("C", "no cost")]
+    assert rows(sinks.backfilled(card, code=F.lit("z"), usage=F.lit("u")), "code", "usage") == [("A", "u")]
+
+
 def test_rate_card(spark, tmp_path):
     (tmp_path / "card.csv").write_text("﻿Category,Item Code,Description / Specification,Unit,Price Range (AED),Avg. Cost (AED),Typical Usage\nWood,wd-1,MDF,Sheet,58.00 – 72.00,65,walls\nWood,wd-2,Ply,Sheet,\"1,100 – 1,400\",,x\nWood,wd-3,None,Sheet,,,x\nWood,WD-1,MDF new,Sheet,,70,walls\n", encoding="utf-8")
     got = {r["code"]: (r["description"], float(r["avg_cost"])) for r in readers.rate_card(spark, f"{tmp_path}/card.csv").collect()}
@@ -426,6 +464,30 @@ def test_suppress_overlaps_and_images(spark):
     assert rows(drawings.images_to_rows(lines, images), "row", "image_ref") == [(1, "a"), (2, "b")]
 
 
+def test_overlap_rounds_follow_the_surest(spark):
+    boxes = [(0, 0.9, 0.0), (1, 0.8, 4.0), (2, 0.7, 8.0), (3, 0.6, 12.0), (4, 0.6, 40.0)]  # each overlaps the next by more than half
+    toks = spark.createDataFrame([("f", 1, i, c, x, 0.0, x + 10, 10.0) for i, c, x in boxes], "file string, page int, token_id int, confidence double, x0 double, y0 double, x1 double, y1 double")
+    assert rows(drawings.suppress_overlaps(toks), "token_id") == [(0,), (2,), (4,)]
+    assert drawings.suppress_overlaps(toks.limit(0)).count() == 0
+
+
+def test_groups_grow_with_their_boxes(spark):
+    at = [(0, 0.0, 0.0, 100.0, 10.0), (1, 105.0, 0.0, 110.0, 100.0), (2, 112.0, 90.0, 300.0, 95.0), (3, 900.0, 900.0, 910.0, 910.0)]
+    spans = spark.createDataFrame([("f", p, i, *b) for p in (1, 2) for i, *b in at], "file string, page int, token_id int, x0 double, y0 double, x1 double, y1 double")
+    assert rows(drawings.cluster_spans(spans), "page", "token_id", "cluster") == [(p, i, int(i == 3)) for p in (1, 2) for i in range(4)]
+    assert drawings.cluster_spans(spans.limit(0)).count() == 0
+
+
+def test_labels_shapes_order_and_titles(spark):
+    box = spark.createDataFrame([("f", 1, 0, 0.0, 0.0, 100.0, 100.0, 50.0), ("f", 1, 1, 500.0, 0.0, 600.0, 50.0, 50.0)], "file string, page int, cluster int, x0 double, y0 double, x1 double, y1 double, px_per_m double")
+    toks = spark.createDataFrame([("f", 1, 0, "SCALE 1:50", 40.0, 40.0, 60.0, 60.0, 9.0), ("f", 1, 1, "2400 mm", 45.0, 45.0, 55.0, 55.0, 9.0), ("f", 1, 2, "Feature wall", 45.0, 120.0, 55.0, 130.0, 10.0), ("f", 1, 3, "Counter A", 540.0, 60.0, 560.0, 70.0, 8.0), ("f", 1, 4, "Big notes", 0.0, 300.0, 9.0, 310.0, 20.0)], "file string, page int, token_id int, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    assert rows(drawings.cluster_labels(box, toks), "cluster", "label") == [(0, "Feature wall"), (1, "Counter A")]
+    arcs = spark.createDataFrame([("f", 1, 80.0, 20.0, 10.0, 10.0, 90.0, 30.0), ("f", 1, 30.0, 9.0, 10.0, 10.0, 40.0, 19.0), ("f", 1, 90.0, 0.5, 505.0, 1.0, 595.0, 2.0)], "file string, page int, chord double, rise double, x0 double, y0 double, x1 double, y1 double")
+    assert rows(drawings.cluster_shapes(box, arcs), "cluster", "shape", "sagitta_m") == [(0, "curved", 0.4), (1, "flat", 0.0)]
+    assert [r["token_id"] for r in drawings.reading_order(toks).orderBy("place").collect()] == [0, 1, 3, 2, 4]
+    assert rows(drawings.page_titles(toks), "title") == [("Feature wall",)]
+
+
 def test_reconcile(spark):
     e = spark.createDataFrame([("f", 1, "perspective", 1, "Display Tower", 0.0, 2.4, 0.0), ("f", 2, "flat", 1, "display  tower", 1.1, 2.41, 0.6), ("f", 3, "flat", 1, "Other", 1.0, 1.0, 1.0), ("f", 3, "flat", 2, None, 1.0, 1.0, 1.0)], "file string, page int, page_kind string, element int, label string, length_m double, height_m double, depth_m double")
     got = {(r["page"], r["element"]): r for r in drawings.reconcile(e).collect()}
