@@ -22,6 +22,12 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("bytes") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("same"))
 
 
+def p6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what every document's ids decode to."""
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return Encoder(spark).with_bytes(encoded, "ids", "bytes").select("doc_id", F.md5("bytes").alias("digest"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[0]
 
@@ -40,5 +46,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
-SQL: dict[str, str] = {}
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p6_digests": p6_digests, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
+SQL = {"p6_digests": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}

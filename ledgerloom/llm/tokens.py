@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from ledgerloom.runtime import materialize, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Bound of the table of common words that the driver gathers and every task holds.
+#: Bound of the table of common words that the driver gathers and every task holds; with words of at most SHORT bytes, and so
+#: at most SHORT ids, it holds under 50 MB.
 DICTIONARY = 1 << 17
 PLACES = 1 << 20  # of the table of common words
 SHORT = 64  # bytes of a word that is merged pair by pair
@@ -231,8 +232,8 @@ def words(text: Column) -> Column:
 
 
 def common_words(texts: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """word, n of the words whose count is at least the lowest that no more than `most` words reach."""
-    counts = materialize(texts.filter("text <> ''").select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    """word, n of the words of at most SHORT bytes whose count is at least the lowest that no more than `most` words reach."""
+    counts = materialize(texts.filter("text <> ''").select(F.explode(words(F.col("text"))).alias("word")).filter(F.octet_length("word") <= SHORT).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     # Counts in classes: exact up to 1024, then 64 to each doubling, so the table of classes is bounded.
     size = F.when(F.col("n") <= 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * 64) / 64 + 1e9)
     classes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
