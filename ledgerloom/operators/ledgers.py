@@ -127,6 +127,27 @@ def view(df: DataFrame, order: list[Column], limit: int, status: str | None = No
     return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def mentions(needle: str, *columns: str) -> Column:
+    """Whether any of the columns holds the needle, whatever the case; a blank needle is held by every row."""
+    return F.lower(F.concat_ws("\n", *columns)).contains(needle.strip().lower())
+
+
+def headers(df: DataFrame, items_column: str = "items_json") -> DataFrame:
+    """df without its line items but with their number, 0 where they can't be read."""
+    return df.withColumn("item_count", F.size(items(F.col(items_column)))).drop(items_column)
+
+
+def overridden(df: DataFrame, key: str, overrides: DataFrame, removed: DataFrame) -> DataFrame:
+    """df with values replaced by overrides(key, field, value) of its own columns, and without the keys in removed.
+
+    The last override of a field in the order of its value's text counts; fields df hasn't are left alone."""
+    fields = [c for c in df.columns if c != key]
+    wide = overrides.filter(F.col("field").isin(*fields)).groupBy(key).agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in fields))
+    types = dict(df.dtypes)
+    told = df.join(removed.select(key).distinct(), key, "left_anti").join(wide, key, "left")
+    return told.select(*(F.col(c) if c == key else F.coalesce(F.col(f"_{c}").try_cast(types[c]), c).alias(c) for c in df.columns))
+
+
 def review_severity(reasons: Column) -> Column:
     """0 where a rate is missing, 1 a description, 2 where figures don't reconcile, 3 otherwise, from an array of reasons."""
     has = lambda words: F.exists(F.coalesce(reasons, F.array().cast("array<string>")), lambda r: F.contains(F.lower(r), F.lit(words)))

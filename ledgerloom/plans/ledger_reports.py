@@ -253,3 +253,25 @@ def pooled_labels(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", "embedding")
     pooled = similarity.mean_pool(e, ["label"], "embedding")
     return pooled.select("label", F.posexplode("pooled").alias("at", "v")).select("label", "at", F.round("v", 6).alias("v"))
+
+
+@query("SELECT id, CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' THEN len(list_filter(CAST(j AS JSON[]), lambda e: json_type(e) = 'OBJECT')) ELSE 0 END AS item_count FROM (SELECT id, max(items_json) AS j FROM quotations WHERE id IS NOT NULL GROUP BY id)")
+def quotation_headers(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "quotations").filter("id is not null").groupBy("id").agg(F.max("items_json").alias("items_json"))
+    return ledgers.headers(q)
+
+
+@query("SELECT id, arg_max(status, (loaded_at, created_at, status)) AS status FROM quotations WHERE id IS NOT NULL GROUP BY id HAVING contains(lower(concat_ws(chr(10), max(client_name), max(venue))), 'mall') AND arg_max(status, (loaded_at, created_at, status)) = 'Won'")
+def history_search(spark: SparkSession, d: str) -> DataFrame:
+    """Won quotations whose client or venue mentions a mall."""
+    q = table(spark, d, "quotations").filter("id is not null").groupBy("id").agg(F.max("client_name").alias("client_name"), F.max("venue").alias("venue"), F.max_by("status", F.struct("loaded_at", "created_at", "status")).alias("status"))
+    return q.filter((F.col("status") == "Won") & ledgers.mentions("Mall", "client_name", "venue")).select("id", "status")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'override' ELSE title END AS title FROM (SELECT id, max(title) AS title FROM jobs WHERE id IS NOT NULL GROUP BY id) WHERE id NOT IN (SELECT record_id FROM removed_records WHERE table_name = 'jobs' AND record_id IS NOT NULL)")
+def edited_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with every seventh title overridden and the removed ones left out."""
+    j = table(spark, d, "jobs").filter("id is not null").groupBy("id").agg(F.max("title").alias("title"))
+    over = j.filter("id % 7 = 0").select("id", F.lit("title").alias("field"), F.lit("override").alias("value"))
+    gone = table(spark, d, "removed_records").filter("table_name = 'jobs' and record_id is not null").select(F.col("record_id").alias("id"))
+    return ledgers.overridden(j, "id", over, gone)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, items, text
-from ledgerloom.operators import matching, records, similarity
+from ledgerloom.operators import ledgers, matching, records, similarity
 from ledgerloom.runtime import table
 from ledgerloom.sources.sinks import document_rows
 from ledgerloom.streaming import pipelines
@@ -75,7 +75,7 @@ def quote_ages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, description, CAST(rate AS DOUBLE) AS rate FROM catalog_items WHERE contains(lower(concat_ws(' ', description, category)), 'oak') ORDER BY category, id LIMIT 25")
 def catalog_search(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "catalog_items").filter(F.lower(F.concat_ws(" ", "description", "category")).contains("oak"))
+    c = table(spark, d, "catalog_items").filter(ledgers.mentions("oak", "description", "category"))
     return c.orderBy(F.asc_nulls_last("category"), "id").limit(25).select("id", "description", F.col("rate").cast("double").alias("rate"))
 
 

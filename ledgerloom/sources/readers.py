@@ -234,3 +234,12 @@ def config(path: str, default):
     known = {f.name: getattr(default, f.name) for f in fields(default)}
     fit = {k: type(known[k])(v) for k, v in (found.items() if isinstance(found, dict) else ()) if k in known and not isinstance(v, bool) and isinstance(v, (int, float) if isinstance(known[k], float) else type(known[k]))}
     return replace(default, **fit)
+
+
+def fresh_rate_card(spark: SparkSession, path: str, held: tuple[int, DataFrame] | None = None, force: bool = False) -> tuple[int, DataFrame]:
+    """(mtime, card): the held card while its file is as it was, else a new reading of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    mtime = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    if held is not None and held[0] == mtime and not force:
+        return held
+    return mtime, rate_card(spark, path)

@@ -94,3 +94,36 @@ def track_orphans(records: dict[str, DataFrame], removals: DataFrame, root: str
     for name, stream in [*records.items(), (None, removals)]:
         stream.writeStream.foreachBatch(feed(name)).option("checkpointLocation", f"{root}/_offsets/{name or 'removals'}").trigger(availableNow=True).start().awaitTermination()
     return state
+
+
+def import_pages(pages: DataFrame, root: str) -> BucketStore:
+    """Keep the elements read from drawing pages, as they arrive, in a store at root by file; a page that comes again
+    replaces itself, and a run that dies is taken up where it was. finish_import reconciles the complete set."""
+    spark = pages.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    store = BucketStore(spark, root, {"elements": schema})
+
+    def merge(batch: DataFrame, _: int) -> None:
+        bucket = F.pmod(F.xxhash64("file"), F.lit(64)).cast("string").alias("bucket")
+        with scratch(spark):
+            new = materialize(batch.select("*", bucket), "import-pages")
+            touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+            old = store.read("elements", touched).select("*", bucket).join(new.select("file", "page").distinct(), ["file", "page"], "left_anti").select(*new.columns)
+            store.commit({"elements": old.unionByName(new)}, touched)
+        store.prune()
+
+    pages.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/_offsets").trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+def finish_import(store: BucketStore) -> DataFrame:
+    from ledgerloom.operators.drawings import reconcile
+
+    return reconcile(store.read("elements"))
+
+
+def corrected_stream(items: DataFrame, corrections: DataFrame) -> DataFrame:
+    """A stream of re-read items with the corrections made to earlier readings of them replayed, run to its end."""
+    from ledgerloom.operators.corrections import apply_corrections
+
+    return _drain(apply_corrections(items, corrections))

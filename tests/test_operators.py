@@ -426,6 +426,81 @@ def test_session_stream(spark, tmp_path):
     assert rows(got, "user_id", "n") == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_pages_are_imported_once_and_reconciled(spark, tmp_path):
+    schema = "file string, page int, page_kind string, element int, label string, length_m double, height_m double, depth_m double"
+    put = lambda rs: spark.createDataFrame(rs, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: pipelines.import_pages(pipelines.file_stream(spark, f"{tmp_path}/in", 1), f"{tmp_path}/state")
+    put([("f", 1, "flat", 1, "Tower", 0.0, 2.0, 0.0), ("f", 2, "flat", 1, "tower", 1.0, 2.0, 0.5)])
+    assert run().read("elements").count() == 2
+    put([("f", 1, "flat", 1, "Tower", 0.0, 3.0, 0.0), ("g", 1, "flat", 1, None, 1.0, 1.0, 1.0)])
+    got = {(r["file"], r["page"]): (r["length_m"], r["height_m"]) for r in pipelines.finish_import(run()).collect()}
+    assert got == {("f", 1): (1.0, 3.0), ("f", 2): (1.0, 2.0), ("g", 1): (1.0, 1.0)}
+
+
+def test_corrections_replay_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a.xlsx", "Stage", 100.0, "Pcs", "X", "low", "low", True, "r"), ("b.xlsx", "Desk", 5.0, "Pcs", "Y", "low", "low", True, "r")], ITEM).write.parquet(f"{tmp_path}/items")
+    fixes = spark.createDataFrame([("a.xlsx", "stage", 250.0, None, None, ["rate"])], FIX)
+    got = pipelines.corrected_stream(pipelines.file_stream(spark, f"{tmp_path}/items"), fixes)
+    assert rows(got, "file_name", "historical_rate", "needs_review") == [("a.xlsx", 250.0, False), ("b.xlsx", 5.0, True)]
+
+
+def test_rate_card_is_read_again_when_its_file_changes(spark, tmp_path):
+    path = tmp_path / "card.csv"
+    path.write_text("Item Code,Avg Cost\nA,1\n")
+    held = readers.fresh_rate_card(spark, str(path))
+    assert readers.fresh_rate_card(spark, str(path), held) is held
+    path.write_text("Item Code,Avg Cost\nA,1\nB,2\n")
+    __import__("os").utime(path, (1, 1))
+    assert readers.fresh_rate_card(spark, str(path), held)[1].count() == 2
+
+
+# ---- ledgers -------------------------------------------------------------------------------------------------------------------
+def test_identities(spark):
+    from ledgerloom.operators import ledgers
+
+    known = spark.createDataFrame([("c1", "acme", "111"), ("c2", "bolt", ""), ("c3", "twin", "1"), ("c4", "twin", "2")], "identity string, name_key string, phone_key string")
+    asked = [(1, "acme", "111"), (2, "acme", ""), (3, "bolt", ""), (4, "bolt", "9"), (5, "twin", ""), (6, "new", ""), (7, "new", ""), (8, "fresh", "5"), (9, "fresh", ""), (10, "", "7"), (11, None, None)]
+    got = ledgers.resolve_identities(spark.createDataFrame(asked, "id int, n string, p string"), known, F.coalesce("n", F.lit("")), F.col("p"), "id")
+    assert {r["id"]: (r["identity"], r["is_new"]) for r in got.collect()} == {1: ("c1", False), 2: ("c1", False), 3: ("c2", False), 4: ("new-4", True), 5: ("new-5", True), 6: ("new-6", True), 7: ("new-6", True), 8: ("new-8", True), 9: ("new-8", True), 10: (None, None), 11: (None, None)}
+
+
+def test_lookups_totals_and_views_of_odd_rows(spark):
+    from ledgerloom.operators import ledgers
+
+    r = spark.createDataFrame([(1, "a", "g"), (2, "zz", "g"), (3, None, None), (4, " B ", "h")], "id int, code string, grp string")
+    card = spark.createDataFrame([("A", 1.0), ("a ", 0.5), ("b", 2.0), (None, 9.0)], "code string, cost double")
+    found, missed = ledgers.looked_up(r, card, "code", ["cost"])
+    assert rows(found, "id", "cost") == [(1, 0.5), (4, 2.0)] and rows(missed, "id") == [(2,), (3,)]
+    assert {r_["grp"]: (r_["misses"], r_["ok"]) for r_ in ledgers.blocked_groups(r, missed, "grp").filter("grp is not null").collect()} == {"g": (1, False), "h": (0, True)}
+    totals = ledgers.left_totals(r, spark.createDataFrame([(1, 5.0), (1, None), (None, 3.0)], "id int, amount double"), "id", "id", {"spent": F.col("amount")})
+    assert rows(totals, "id", "entries", "spent")[:2] == [(1, 2, 5.0), (2, 0, 0.0)]
+    day = lambda x: F.lit(x).cast("date")
+    docs = spark.createDataFrame([(1, 10.0, 0.0, "2024-01-01", None), (2, 10.0, 10.0, "2024-01-01", "Sent"), (3, None, None, None, "Sent"), (4, 10.0, 4.0, "2024-01-01", "Cancelled"), (5, 10.0, 4.0, "2024-03-01", "Sent")], "id int, total double, paid double, due string, status string").withColumn("due_date", F.col("due").cast("date"))
+    states = ledgers.owed(docs, day("2024-02-15"))
+    assert rows(states, "id", "payment_state", "is_overdue", "days_overdue") == [(1, "Unpaid", True, 45), (2, "Paid", False, 0), (3, "Unpaid", False, 0), (4, "Partial", False, 0), (5, "Partial", False, 0)]
+    assert rows(ledgers.aging(states), "bucket", "balance", "outstanding") == [("31_60", 10.0, 16.0), ("current", 6.0, 16.0)]
+    assert [ledgers.aging(states.limit(0)).count(), ledgers.view(r, [F.col("id")], 0).count()] == [0, 0]
+    near = spark.createDataFrame([("2024-02-01", None), (None, "2024-02-20"), (None, None), ("2024-04-01", "2024-04-02")], "s string, e string").select(F.col("s").cast("date").alias("s"), F.col("e").cast("date").alias("e"))
+    assert [x[0] for x in near.select(ledgers.coming(F.col("s"), F.col("e"), day("2024-02-15"), 30)).collect()] == [False, True, False, False]
+    assert [x[0] for x in near.select(ledgers.trailing(F.col("s"), day("2024-02-15"), 20)).collect()] == [True, False, False, True]
+
+
+def test_pooling_search_and_stale_vectors(spark):
+    df = spark.createDataFrame([(1, [3.0, 0.0], 1), (1, [0.0, 4.0], 1), (1, [9.0, 9.0], 0), (2, [0.0, 0.0], 1), (3, None, 1), (4, [1.0, 1.0], None)], "k int, v array<float>, m int")
+    got = {r["k"]: [round(x, 6) for x in r["pooled"]] for r in similarity.mean_pool(df, ["k"], "v", "m").collect()}
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+    lib = spark.createDataFrame([(1, [1.0, 0.0], 100.0, "2024-01-01"), (2, [0.0, 1.0], 50.0, None)], "vec_id bigint, embedding array<float>, rate double, quote_date string")
+    ask = spark.createDataFrame([(9, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    found = similarity.search(ask, lib, F.lit("2025-12-31").cast("date"), 0.1, 2)
+    assert [(r["id"], r["similarity"], r["adjusted_rate"]) for r in found.orderBy("rank").collect()] == [(1, 100.0, round(100 * 1.1 ** (730 / 365.25), 2)), (2, 0.0, 50.0)]
+    items = spark.createDataFrame([(1, "t1"), (2, None), (3, "t3")], "id int, updated_at string")
+    stored = spark.createDataFrame([(1, "t1"), (2, None), (3, "old"), (4, "x")], "id int, updated_at string")
+    kept, stale = similarity.stale_vectors(items, stored)
+    assert rows(kept, "id") == [(1,), (2,)] and rows(stale, "id") == [(3,)]
+    rung = similarity.semantic_rung(ask.withColumnRenamed("vec_id", "line_id"), lib.select("vec_id", "embedding"), spark.createDataFrame([], "line_id bigint"))
+    assert rows(rung, "line_id", "id", "rung") == [(9, 1, 4)]
+
+
 # ---- drawings ------------------------------------------------------------------------------------------------------------------
 def test_attach_measure_cluster(spark):
     pages = spark.createDataFrame([("f", 1, 600.0, 400.0)], "file string, page int, width_px double, height_px double")
